@@ -220,8 +220,9 @@ def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", ur
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "block": pa.array([shared.value.block(x.encode()) for x in keys], pa.int64())})
 
     placed = plain.mapInArrow(place, "key string, block bigint").where("block >= 0")
+    # A few blocks a task: the rows are narrow, but each reads a record.
     # A key asked for again and again is read once: its captures carry the number of requests.
-    asked = placed.groupBy("block", "key").agg(F.count("*").alias("times")).repartition("block").sortWithinPartitions("block", "key")
+    asked = placed.groupBy("block", "key").agg(F.count("*").alias("times")).repartition(max(16, -(-len(index.keys) // 4)), "block").sortWithinPartitions("block", "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, now, lines, keys = Ranges(), -1, [], []
