@@ -73,7 +73,7 @@ def over_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, rows: C
 class Memo:
     """What a worker remembers by key, in two generations: a full young one becomes the old one, and what is used again moves back. So it holds twice `most` keys or `most_bytes` at the utmost, and common keys stay."""
 
-    def __init__(self, most: int = 350_000, most_bytes: int = 32 << 20):
+    def __init__(self, most: int = 700_000, most_bytes: int = 64 << 20):
         self.most, self.most_bytes = most, most_bytes
         self.young: dict = {}
         self.old: dict = {}
