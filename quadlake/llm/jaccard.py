@@ -1,19 +1,21 @@
 """Self-join of documents whose sets of word shingles have a Jaccard similarity of 0.75 or more.
 
 Equal sets become one class first. Two sets that are similar share one of their first shingles, in an order that
-puts shingles met often in a sample last (any order is right; this one keeps groups small). Classes that share such
-a shingle form a unit, or, where many do, chunks and pairs of chunks. In a unit, a set is a point: the counts of its
-shingles by hash group. An R-tree over the points bounds the overlap of a query and all points below a node by the
-summed minima of the query's coordinates and the node's largest; what survives is verified on the sets.
-
-That happens twice. At first every class asks for its likeliest partner alone, which ties most copies of a text
-together; then for all partners outside its component, so that no link between components is lost, and none of the
-many links inside a group of near copies is enumerated.
+puts shingles met often in a sample last (any order is right; this one keeps groups small). The classes that share
+such a shingle join the unit of the least of them, so that the many shingles of one family of near copies make one
+unit; a large unit is cut into chunks, and later into pairs of chunks.
+
+In a unit, a set is a point: the counts of its shingles by hash group. An R-tree over the points bounds the overlap
+of a query and all points below a node by the summed minima of the query's coordinates and the node's largest.
+Members without a partner that the bound admits leave. The rest are verified on their sets: first each with its
+likeliest partner, which ties most near copies together, then with all partners outside its component. So no
+link between components is lost, and of the many links inside one only a spanning few are rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,14 @@ from pyspark.sql import types as T
 from .common import slices, stored, texts
 
 SHINGLE = 5
-#: Members of a chunk; units hold at most two chunks.
-CHUNK = 256
-#: One class in SAMPLED is in the sample; a shingle that OFTEN of them have is put last. At most ORDERED such
-#: shingles travel to the workers.
-SAMPLED, OFTEN, ORDERED = 32, 4, 500_000
+#: Members of a chunk, about; what one task compares at a time holds two chunks at most.
+CHUNK = 512
+#: One class in SAMPLED is in the sample, with its shingles under SAMPLED_BELOW (others hardly come first); a shingle
+#: that OFTEN of them have is put last. At most ORDERED such shingles travel to the workers.
+SAMPLED, SAMPLED_BELOW, OFTEN, ORDERED = 8, np.uint64(int(0.4 * 2**64)), 4, 500_000
 #: First shingles that one reducer takes, and reducers at least.
 TAKEN, REDUCERS = 1_500_000, 48
-LEAF, FANOUT, GROUPS = 16, 8, 64
+LEAF, FANOUT, GROUPS = 16, 8, 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,14 +50,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x if first.all() else x[first]
+
+
 def shingle_sets(data: list[bytes]) -> list[np.ndarray]:
     """Of each text: its distinct shingles as sorted 64-bit hashes."""
     split = [x.translate(_LOWER).split() for x in data]
-    names = list(set().union(*split))
-    number = dict(zip(names, range(len(names)), strict=True))
     count = np.array([len(x) for x in split], np.int64)
-    ids = np.fromiter((i for x in split for i in map(number.__getitem__, x)), np.int64, int(count.sum()))
-    words = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)[ids] if names else np.zeros(0, np.uint64)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, int(count.sum()))
     rolled = words.copy()
     for k in range(1, SHINGLE):
         rolled = rolled[:-1] * _STEP + words[k:]
@@ -63,7 +69,7 @@ def shingle_sets(data: list[bytes]) -> list[np.ndarray]:
     out, at = [], 0
     for n in count.tolist():
         if n >= SHINGLE:
-            out.append(np.unique(rolled[at : at + n - SHINGLE + 1]))
+            out.append(_distinct(rolled[at : at + n - SHINGLE + 1]))
         elif n:
             out.append(np.array([xxhash.xxh64_intdigest(words[at : at + n].tobytes(), seed=n)], np.uint64))
         else:
@@ -103,7 +109,7 @@ def level_of(n: int) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts by group; the groups grow with the set, so that a count is 8 on average at most and fits a byte."""
+    """Counts by group; the groups grow with the set, so that a count is 4 on average at most and fits a byte."""
     groups = GROUPS * 4 ** level_of(len(shingles))
     counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
     if counts.max() > 255:
@@ -116,7 +122,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray):
         self.order = np.lexsort((points[:, 0], sizes, components))
-        self.levels = [(points[self.order].astype(np.int32), sizes[self.order], sizes[self.order], components[self.order], components[self.order])]
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order], components[self.order], components[self.order])]
         step = LEAF
         while len(self.levels[-1][0]) > 1:
             top, low, high, first, last = self.levels[-1]
@@ -130,7 +136,7 @@ class CountTree:
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high, first, last = (x[nodes] for x in self.levels[depth])
-            bound = np.minimum(top, query).sum(axis=1)
+            bound = np.minimum(top, query).sum(axis=1, dtype=np.int32)
             ok = similar(bound, size, low) & (4 * high >= 3 * size) & (3 * low <= 4 * size) & ((first != component) | (last != component))
             nodes, bound = nodes[ok], bound[ok]
             if not depth:
@@ -141,32 +147,75 @@ class CountTree:
         raise AssertionError
 
 
-def unit_pairs(classes: np.ndarray, components: np.ndarray, sizes: np.ndarray, points: list[bytes], best_only: bool) -> set[tuple[int, int]]:
-    """Pairs of classes of one unit that may be similar; with best_only the likeliest partner of each class."""
+def partners(components: np.ndarray, sizes: np.ndarray, points: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Places i, js of a unit that may be similar and are of different components, and bounds of their overlaps;
+    of each pair at least one way round."""
     vectors = [np.frombuffer(x, np.uint8) for x in points]
-    levels = np.array([level_of(int(n)) for n in sizes])
-    found: set[tuple[int, int]] = set()
-    best: dict[int, tuple[int, int]] = {}
-    for level in np.unique(levels):
+    levels = np.array([level_of(n) for n in sizes.tolist()])
+    for level in np.unique(levels).tolist():
         members = np.flatnonzero((levels == level) | (levels == level + 1))
-        groups = GROUPS * 4 ** int(level)
-        folded = np.stack([vectors[i].astype(np.int32).reshape(-1, groups).sum(axis=0) for i in members])
+        groups = GROUPS * 4**level
+        # Folded, a coordinate sums four; a sum beyond a byte needs a wider kind.
+        folded = np.stack([x if len(x) == groups else x.reshape(-1, groups).sum(axis=0, dtype=np.uint16) for x in (vectors[i] for i in members)])
         tree = CountTree(folded, sizes[members], components[members])
-        for k, i in enumerate(members):
-            if levels[i] != level:
-                continue
-            hits, bounds = tree.search(folded[k], int(sizes[i]), int(components[i]))
-            for j, bound in zip(members[hits].tolist(), bounds.tolist(), strict=True):
-                if j == i:
-                    continue
-                if not best_only:
-                    found.add((min(classes[i], classes[j]), max(classes[i], classes[j])))
-                    continue
-                share = bound * 1000 // int(sizes[i] + sizes[j])
-                for x, y in ((i, j), (j, i)):
-                    if x not in best or (-share, classes[y]) < best[x]:
-                        best[x] = (-share, classes[y])
-    found |= {(min(classes[i], c), max(classes[i], c)) for i, (_, c) in best.items()}
+        for k in np.flatnonzero(levels[members] == level).tolist():
+            hits, bounds = tree.search(folded[k], int(sizes[members[k]]), int(components[members[k]]))
+            own = hits != k
+            if own.any():
+                yield int(members[k]), members[hits[own]], bounds[own]
+
+
+def links_in(components: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+    """Places of similar sets, enough of them to tie together all that links inside the unit tie together; none
+    within a component."""
+    values = [unpack(x) for x in sets]
+    sizes = np.array([len(x) for x in values])
+    points = [point(x).tobytes() for x in values]
+    shingles, ids = np.unique(np.concatenate(values), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked = np.zeros(len(shingles), bool)
+    parent = list(range(len(sets)))
+    first_of: dict[int, int] = {}
+    for i, c in enumerate(components.tolist()):
+        parent[i] = first_of.setdefault(c, i)
+    found: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def verify(i: int, js: list[int]) -> None:
+        """Tries js in order, passing over those that have joined i's tree meanwhile."""
+        if not js:
+            return
+        own = slice(starts[i], starts[i] + sizes[i])
+        marked[ids[own]] = True
+        many = np.add.reduceat(marked[ids], starts) if len(js) * 4 > len(sets) else None
+        for j in js:
+            a, b = root(i), root(j)
+            if a != b:
+                shared = int(many[j]) if many is not None else int(marked[ids[starts[j] : starts[j] + sizes[j]]].sum())
+                if similar(shared, sizes[i], sizes[j]):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((i, j))
+        marked[ids[own]] = False
+
+    likely: dict[int, tuple[float, int]] = {}
+    for i, js, bounds in partners(components, sizes, points):
+        share = bounds / (sizes[i] + sizes[js])
+        k = int(share.argmax())
+        likely[i] = (float(share[k]), int(js[k]))
+        for j, x in zip(js.tolist(), share.tolist(), strict=True):
+            if j not in likely or likely[j][0] < x:
+                likely[j] = (x, i)
+    for i, (_, j) in likely.items():
+        verify(i, [j])
+    now = np.array([root(i) for i in range(len(sets))])
+    if likely and len(np.unique(now)) > 1:
+        for i, js, _ in partners(now, sizes, points):
+            verify(i, js.tolist())
     return found
 
 
@@ -201,7 +250,7 @@ def signatures(plain: DataFrame) -> DataFrame:
                 take = c is not None and c % SAMPLED == 0 and c not in met
                 if take:
                     met.add(c)
-                sample.append(x.view(np.int64) if take else None)
+                sample.append(x[: np.searchsorted(x, SAMPLED_BELOW)].view(np.int64) if take else None)
             yield pa.RecordBatch.from_pydict({"id": part.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array(classes, pa.int64()), "sample": pa.array(sample, pa.list_(pa.int64()))})
 
     return plain.mapInArrow(run, f"id {kind}, n bigint, class bigint, sample array<bigint>")
@@ -216,12 +265,9 @@ def often_met(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], (len(order) - 1 - np.arange(len(order)))[order]
 
 
-def units_of(plain: DataFrame, often: tuple[np.ndarray, np.ndarray], reducers: int) -> DataFrame:
-    """bucket, chunk, members: classes that share a first shingle, as packed longs, in chunks of CHUNK.
-
-    A small bucket's name is the digest of its members, so that equal buckets of different shingles are one; a large
-    one's is its shingle, and each of its chunks is a row.
-    """
+def stars(plain: DataFrame, often: tuple[np.ndarray, np.ndarray], reducers: int) -> DataFrame:
+    """unit, class: the classes that share a first shingle with others, in the unit of the least of them, which is
+    named for it. Distinct."""
     shared = plain.sparkSession.sparkContext.broadcast(often)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,54 +309,51 @@ def units_of(plain: DataFrame, often: tuple[np.ndarray, np.ndarray], reducers: i
         classes = np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.int64)
         order = np.lexsort((classes, tokens))
         tokens, classes = tokens[order], classes[order]
-        first = np.ones(len(tokens), bool)
-        first[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-        tokens, classes = tokens[first], classes[first]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         sizes = np.diff(np.append(starts, len(tokens)))
-        seen: set[bytes] = set()
-        out: list[tuple[int, int, bytes]] = []
-        for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            members = classes[a : a + n].tobytes()
-            if members in seen:
-                continue
-            seen.add(members)
-            name = xxhash.xxh3_64_intdigest(members) - (1 << 63) if n <= CHUNK else int(tokens[a]) ^ (key[0].as_py() << 41)
-            out += [(name, k, members[8 * at : 8 * (at + CHUNK)]) for k, at in enumerate(range(0, n, CHUNK))]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int32()), "members": pa.array([x[2] for x in out], pa.binary())})
+        least = np.repeat(classes[starts], sizes)
+        several = np.repeat(classes[np.append(starts[1:], len(tokens)) - 1] != classes[starts], sizes)
+        pairs = np.unique(np.stack([least[several], classes[several]], axis=1), axis=0)
+        return pa.table({"unit": pa.array(pairs[:, 0]), "class": pa.array(pairs[:, 1])})
 
     packed = plain.mapInArrow(emit, "part bigint, shingles binary, classes binary")
-    return packed.groupBy("part").applyInArrow(gather, "bucket bigint, chunk int, members binary").dropDuplicates(["bucket", "chunk"])
+    return packed.groupBy("part").applyInArrow(gather, "unit bigint, class bigint").distinct()
 
 
-def exploded(units: DataFrame) -> DataFrame:
-    """unit, class of units (unit, members)."""
+def hopeful(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows (unit, class, component) that have a partner that the bound admits, in another component."""
+    ordered = rows.join(points, "class").select("unit", "class", "component", "n", "point").repartition("unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
-            if members:
-                yield pa.RecordBatch.from_pydict({"unit": pa.array(np.repeat(batch.column("unit").to_numpy(), [len(x) for x in members])), "class": pa.array(np.concatenate(members))})
+        for unit in _runs(batches, "unit"):
+            if unit.num_rows < 2:
+                continue
+            sizes = unit.column("n").to_numpy()
+            near = np.sort(sizes)
+            if not (4 * near[:-1] >= 3 * near[1:]).any():
+                continue
+            kept = np.zeros(unit.num_rows, bool)
+            for i, js, _ in partners(unit.column("component").to_numpy(), sizes, unit.column("point").to_pylist()):
+                kept[i] = True
+                kept[js] = True
+            if kept.any():
+                yield from unit.select(["unit", "class", "component"]).filter(pa.array(kept)).combine_chunks().to_batches()
 
-    return units.select("unit", "members").mapInArrow(run, "unit bigint, class bigint")
+    return ordered.mapInArrow(run, "unit bigint, class bigint, component bigint")
 
 
-def candidates(rows: DataFrame, best_only: bool) -> DataFrame:
-    """a, b of rows (unit, class, component, n, point), distinct."""
-    ordered = rows.repartition("unit").sortWithinPartitions("unit")
+def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: verified links of rows (unit, class, component), spanning in each unit."""
+    ordered = rows.join(sets.select("class", "shingles"), "class").select("unit", "class", "component", "shingles").repartition("unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        flush = lambda: pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
         for unit in _runs(batches, "unit"):
             if unit.num_rows > 1:
-                found |= unit_pairs(*(unit.column(k).to_numpy() for k in ("class", "component", "n")), unit.column("point").to_pylist(), best_only)
-            if len(found) > 100_000:
-                yield flush()
-                found.clear()
-        yield flush()
+                classes = unit.column("class").to_numpy()
+                found = np.array(links_in(unit.column("component").to_numpy(), unit.column("shingles").to_pylist()), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(classes[found[:, 0]]), "b": pa.array(classes[found[:, 1]])})
 
-    return ordered.select("unit", "class", "component", "n", "point").mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def sets_of(plain: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -348,24 +391,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
-    other = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
-    # Ordered by a, a set that many pairs share stands once in a batch's memory at a time.
-    rows = pairs.join(one, "a").join(other, "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                p, q = unpack(x.as_py()), unpack(y.as_py())
-                keep.append(similar(overlap(p, q), len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
-
-
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """class, component (its least class) of the classes that edges (a, b) touch: least labels of neighbours, then
     labels of labels, until none changes. Each round is a table in the shared folder."""
@@ -391,35 +416,29 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = narrow.where("n > 0").groupBy("class").agg(F.min("id").alias("id"))
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reducers = max(REDUCERS, -(-total // 4 // TAKEN))
-    buckets = stored(units_of(plain, often_met(signed), reducers), "buckets")
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("chunks")).where("chunks > 1").select("bucket")
-    alone = buckets.join(several, "bucket", "left_anti").select(F.col("bucket").alias("unit"), "members")
-    chunks = buckets.join(several, "bucket").select("bucket", "chunk", "members")
-    inside = alone.union(chunks.select(F.xxhash64("bucket", "chunk").alias("unit"), "members"))
-    # The first chunk meets every other one at once; the second time all pairs of chunks do that need it.
-    first = chunks.where("chunk = 0").select("bucket", F.substring("members", 1, 8 * 16).alias("head"))
-    met = chunks.where("chunk > 0").join(first, "bucket").select(F.xxhash64("bucket", "chunk", F.lit(-1)).alias("unit"), F.concat("head", "members").alias("members"))
-    members = stored(exploded(inside.union(met)), "members")
+    members = stored(stars(plain, often_met(signed), reducers), "members")
     involved = classes.join(members.select("class").distinct(), "class", "left_semi")
     sets = stored(sets_of(plain, involved), "sets")
     points = sets.select("class", "n", "point")
-    likely = stored(candidates(members.join(points, "class").withColumn("component", F.col("class")), True), "likely")
-    linked = stored(verified(likely, sets), "linked")
-    label = components(linked)
-    # Units whose members are in one component by now are done; so are pairs of chunks.
-    labelled = members.join(label, "class", "left").select("unit", "class", F.coalesce("component", "class").alias("component"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("unit")
-    within = labelled.join(mixed, "unit", "left_semi")
-    state = labelled.join(inside.join(chunks.select(F.xxhash64("bucket", "chunk").alias("unit"), "bucket", "chunk"), "unit").select("unit", "bucket", "chunk").distinct(), "unit").groupBy("bucket", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    state = stored(state, "chunks")
-    one, two = state.select("bucket", F.col("chunk").alias("c1"), F.col("low").alias("l1"), F.col("high").alias("h1")), state.select("bucket", F.col("chunk").alias("c2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    across = one.join(two, "bucket").where("c1 < c2 and not (l1 = h1 and l2 = h2 and l1 = l2)").select("bucket", "c1", "c2")
-    pairs = across.select(F.xxhash64("bucket", "c1", "c2", F.lit(-2)).alias("unit"), "bucket", F.explode(F.array("c1", "c2")).alias("chunk"))
-    wide = exploded(pairs.join(chunks, ["bucket", "chunk"]).select("unit", "members")).join(label, "class", "left").select("unit", "class", F.coalesce("component", "class").alias("component"))
-    rest = candidates(within.select("unit", "class", "component").union(wide).join(points, "class"), False)
-    more = stored(verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "linked")
-    final = components(linked.union(more))
+    # A unit of several chunks: its members go to chunks by hash, and the one that it is named for meets them all.
+    large = stored(members.groupBy("unit").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"), "large-units")
+    rows = members.join(large, "unit", "left")
+    placed = rows.where("chunks is not null").withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks"))
+    chunk_unit = F.xxhash64("unit", "chunk")
+    named = large.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(chunk_unit.alias("unit"), F.col("unit").alias("class"))
+    first = rows.where("chunks is null").select("unit", "class").union(placed.where("unit != class").select(chunk_unit.alias("unit"), "class")).union(named)
+    linked = stored(links(stored(hopeful(first.withColumn("component", F.col("class")), points), "hopeful"), sets), "links")
+    final = components(linked)
+    if large.limit(1).count():
+        # Pairs of chunks, but those whose members are all in one component by now.
+        labelled = stored(placed.join(final, "class", "left").select("unit", "chunk", "class", F.coalesce("component", "class").alias("component")), "placed")
+        state = stored(labelled.groupBy("unit", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high")), "chunks")
+        other = state.select("unit", *(F.col(c).alias(c + "_2") for c in ("chunk", "low", "high")))
+        pairs = state.join(other, "unit").where("chunk < chunk_2 and not (low = high and low = low_2 and low = high_2)")
+        pairs = pairs.select("unit", F.xxhash64("unit", "chunk", "chunk_2").alias("pair"), F.explode(F.array("chunk", "chunk_2")).alias("chunk"))
+        second = pairs.join(labelled, ["unit", "chunk"]).select(F.col("pair").alias("unit"), "class", "component")
+        more = stored(links(stored(hopeful(second, points), "hopeful"), sets), "links")
+        final = components(linked.union(more))
     found = classes.join(final, "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     least = found.groupBy("component").agg(F.min("id").alias("component_id"))
     whole = found.join(least, "component").select("class", "component_id")
