@@ -237,7 +237,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def signatures(plain: DataFrame) -> DataFrame:
-    """id, n, class, and of one class in SAMPLED the shingles (once a task)."""
+    """id, n, class; once a task for each class its point, and of one class in SAMPLED the shingles."""
     kind = plain.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +245,17 @@ def signatures(plain: DataFrame) -> DataFrame:
         for part in slices(batches, "text"):
             sets = shingle_sets(texts(part, "text"))
             classes = [class_of(x) if len(x) else None for x in sets]
-            sample = []
+            sample, points = [], []
             for c, x in zip(classes, sets, strict=True):
-                take = c is not None and c % SAMPLED == 0 and c not in met
-                if take:
+                new = c is not None and c not in met
+                if new:
                     met.add(c)
+                points.append(point(x).tobytes() if new else None)
+                take = new and c % SAMPLED == 0
                 sample.append(x[: np.searchsorted(x, SAMPLED_BELOW)].view(np.int64) if take else None)
-            yield pa.RecordBatch.from_pydict({"id": part.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array(classes, pa.int64()), "sample": pa.array(sample, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": part.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array(classes, pa.int64()), "point": pa.array(points, pa.binary()), "sample": pa.array(sample, pa.list_(pa.int64()))})
 
-    return plain.mapInArrow(run, f"id {kind}, n bigint, class bigint, sample array<bigint>")
+    return plain.mapInArrow(run, f"id {kind}, n bigint, class bigint, point binary, sample array<bigint>")
 
 
 def often_met(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +359,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(plain: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, n, point, shingles (40 bits of each, packed) of the wanted (id, class), each class once."""
+    """class, shingles (40 bits of each, packed) of the wanted (id, class), each class once."""
     wanted = wanted.select(F.col("id").alias("w_id"), F.col("class").alias("w_class")).hint("shuffle_hash")
     rows = plain.join(wanted, plain["id"].eqNullSafe(wanted["w_id"])).select("w_class", "text")
 
@@ -368,10 +370,10 @@ def sets_of(plain: DataFrame, wanted: DataFrame) -> DataFrame:
             for c, x in zip(part.column(0).to_pylist(), shingle_sets(texts(part, "text")), strict=True):
                 if len(x) and c not in met and class_of(x) == c:
                     met.add(c)
-                    out.append((c, len(x), point(x).tobytes(), pack(x)))
-            yield pa.RecordBatch.from_pydict({"class": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()), "point": pa.array([x[2] for x in out], pa.binary()), "shingles": pa.array([x[3] for x in out], pa.binary())})
+                    out.append((c, pack(x)))
+            yield pa.RecordBatch.from_pydict({"class": pa.array([x[0] for x in out], pa.int64()), "shingles": pa.array([x[1] for x in out], pa.binary())})
 
-    return rows.mapInArrow(run, "class bigint, n bigint, point binary, shingles binary")
+    return rows.mapInArrow(run, "class bigint, shingles binary")
 
 
 def pack(shingles: np.ndarray) -> bytes:
@@ -417,9 +419,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reducers = max(REDUCERS, -(-total // 4 // TAKEN))
     members = stored(stars(plain, often_met(signed), reducers), "members")
-    involved = classes.join(members.select("class").distinct(), "class", "left_semi")
-    sets = stored(sets_of(plain, involved), "sets")
-    points = sets.select("class", "n", "point")
+    points = stored(signed.where("point is not null").groupBy("class").agg(F.max("n").alias("n"), F.max("point").alias("point")), "points")
     # A unit of several chunks: its members go to chunks by hash, and the one that it is named for meets them all.
     large = stored(members.groupBy("unit").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"), "large-units")
     rows = members.join(large, "unit", "left")
@@ -427,7 +427,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chunk_unit = F.xxhash64("unit", "chunk")
     named = large.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(chunk_unit.alias("unit"), F.col("unit").alias("class"))
     first = rows.where("chunks is null").select("unit", "class").union(placed.where("unit != class").select(chunk_unit.alias("unit"), "class")).union(named)
-    linked = stored(links(stored(hopeful(first.withColumn("component", F.col("class")), points), "hopeful"), sets), "links")
+    hoping = stored(hopeful(first.withColumn("component", F.col("class")), points), "hopeful")
+    # Texts move once, for the sets of the classes that may have links in their unit, or in chunks yet to meet.
+    wanted = hoping.select("class").union(placed.select("class")).distinct()
+    sets = stored(sets_of(plain, classes.join(wanted, "class", "left_semi")), "sets")
+    linked = stored(links(hoping, sets), "links")
     final = components(linked)
     if large.limit(1).count():
         # Pairs of chunks, but those whose members are all in one component by now.
@@ -440,7 +444,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         more = stored(links(stored(hopeful(second, points), "hopeful"), sets), "links")
         final = components(linked.union(more))
     found = classes.join(final, "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
-    least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = stored(found.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     whole = found.join(least, "component").select("class", "component_id")
     # A class may hold a third of all rows: AQE splits this join of narrow rows.
     return narrow.join(whole, "class", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
