@@ -203,7 +203,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str | None, patte
         bpe = encoder(path, pattern)
         return {id_col: ids} | columns(bpe, bpe.encode([x.decode("utf-8", "replace") for x in data]))
 
-    return over_texts(docs, id_col, text_col, f"`{id_col}` {kind}, {schema}", rows)
+    return over_texts(docs, id_col, text_col, f"`{id_col}` {kind}, {schema}", rows, remembers=True)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,8 +40,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that `column` has about `limit` bytes in each."""
+def trim() -> None:
+    """Gives memory that Python freed back to the machine; a worker lives on after its task."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, remembers: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that `column` has about `limit` bytes in each. Unless the task remembers chunks, its worker
+    forgets those of the tasks before it."""
+    if not remembers:
+        for memo in MEMOS:
+            memo.clear()
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        trim()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,22 +79,30 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return pc.fill_null(batch.column(column).cast(pa.binary()), b"").to_pylist()
 
 
-def over_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[list, list[bytes]], dict], limit: int = SLICE_BYTES) -> DataFrame:
+def over_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[list, list[bytes]], dict], limit: int = SLICE_BYTES, remembers: bool = False) -> DataFrame:
     """mapInArrow of `rows(ids, texts) -> columns` over bounded slices. Other columns of docs are not read, so their names cannot clash."""
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", limit):
+        for part in slices(batches, "text", limit, remembers):
             yield pa.RecordBatch.from_pydict(rows(part.column("id"), texts(part, "text")))
 
     return plain.mapInArrow(run, schema)
 
 
+#: The memos of this worker.
+MEMOS: list[Memo] = []
+
+
 class Memo:
     """What a worker remembers by key, in two generations: a full young one becomes the old one, and what is used again moves back. So it holds twice `most` keys or `most_bytes` at the utmost, and common keys stay."""
 
-    def __init__(self, most: int = 700_000, most_bytes: int = 64 << 20):
+    def __init__(self, most: int = 600_000, most_bytes: int = 64 << 20):
         self.most, self.most_bytes = most, most_bytes
+        self.clear()
+        MEMOS.append(self)
+
+    def clear(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
         self.held = 0

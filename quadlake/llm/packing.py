@@ -137,7 +137,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path
         out = {"doc_id": ids.take(pa.array(take, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
         return out | ({"ids": pa.array(held, pa.list_(pa.int32()))} if with_ids else {})
 
-    return over_texts(docs, id_col, text_col, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, rows)
+    return over_texts(docs, id_col, text_col, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, rows, remembers=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def encode(digests: pa.Array, data: list[bytes]) -> dict:
         return {"digest": digests, "version": [version] * len(data), "n_tokens": pa.array([len(x) // 4 for x in tokenizer(path).ids(data)], pa.int64())}
 
-    over_texts(missed, "digest", "text", CACHE_SCHEMA, encode).write.mode("append").parquet(cache)
+    over_texts(missed, "digest", "text", CACHE_SCHEMA, encode, remembers=True).write.mode("append").parquet(cache)
     # A table of its own, so that the join below deals both sides out itself and AQE can split a key that many rows have.
     counts = stored(spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
