@@ -80,10 +80,10 @@ class Planner:
             narrowed = {}
         return self.fields(shape, base, selected.selection, narrowed, promoted, {} if paged else where or {}).drop("s")
 
-    def entities(self, shape: Shape, names: set[str], keys: DataFrame | None) -> tuple[DataFrame, set[str]]:
+    def entities(self, shape: Shape, names: set[str], keys: DataFrame | None, promoted: set[str]) -> tuple[DataFrame, set[str]]:
         """s and a column for each of the named fields that one table row holds; the names of these."""
         if keys is None and shape.target_class and isinstance(self.source, MappedSource):
-            fused = self.source.row(shape.target_class, {n: f.path[1] for n in names if (f := shape.fields.get(n)) and f.derived is None and f.path[0] == "pred"})
+            fused = self.source.row(shape.target_class, {n: f.path[1] for n in names if (f := shape.fields.get(n)) and f.derived is None and f.path[0] == "pred"}, {n for n in promoted if shape.fields[n].default is None})
             if fused is not None:
                 base, covered = fused
                 for n in sorted(covered):
@@ -206,7 +206,7 @@ class Planner:
         """The entities that a filter leaves (with the wanted fields that their own row holds); values of filtered
         fields in the rows that passed; the promoted fields."""
         tree, promoted = self.normal(shape, where), self.named(shape, where)
-        base, covered = self.entities(shape, wanted | promoted, keys)
+        base, covered = self.entities(shape, wanted | promoted, keys, promoted)
         for n in sorted(promoted & covered):
             base = base.where(F.col(f"f_{n}").isNotNull())
         factors = list(tree[1]) if tree[0] == "and" else [] if tree == ("true",) else [tree]

@@ -144,9 +144,10 @@ class MappedSource(GraphSource):
     def _extra_has(self, predicate: str) -> bool:
         return self.extra is not None and any(p == predicate for _, _, p, _ in self.extra.quads)
 
-    def row(self, class_: str, predicates: dict[str, str]) -> tuple[DataFrame, set[str]] | None:
+    def row(self, class_: str, predicates: dict[str, str], solid: set[str]) -> tuple[DataFrame, set[str]] | None:
         """One scan for the entities of a class and those of their fields (name to predicate) that their row holds:
-        s, and f_<name>, null where there is no triple. None if the class is not one table's."""
+        s, and f_<name>, null where there is no triple. Rows without a solid field are left out, so that a filter on it reaches the scan as
+        it is. None if the class is not one table's."""
         holders = [e for e in self.entities if class_ in e.classes]
         if len(holders) != 1 or any(e.class_column and class_.startswith(e.class_column[0]) for e in self.entities):
             return None
@@ -154,13 +155,19 @@ class MappedSource(GraphSource):
             return None
         e = holders[0]
         covered = {n for n, p in predicates.items() if (p in e.columns or p in e.links) and self.functional(p)}
-        columns = [self._object(e, predicates[n]).alias(f"f_{n}") for n in sorted(covered)]
-        return self.tables[e.table].select(subject(e.name, e.key).alias("s"), *columns), covered
-
-    def _object(self, e: Entity, predicate: str) -> Column:
+        columns = [self._object(e, predicates[n], n in solid).alias(f"f_{n}") for n in sorted(covered)]
+        rows = self.tables[e.table]
+        for n in sorted(covered & solid):
+            for c in e.links[predicates[n]][0] if predicates[n] in e.links else (e.columns[predicates[n]][0],):
+                rows = rows.where(F.col(c).isNotNull())
+        return rows.select(subject(e.name, e.key).alias("s"), *columns), covered
+
+    def _object(self, e: Entity, predicate: str, solid: bool = False) -> Column:
         none = F.lit(None)
         if predicate in e.links:
             columns, target = e.links[predicate]
+            if solid:
+                return iri_term(subject(target, columns))
             return F.when(F.greatest(*(F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, iri_term(subject(target, columns)))
         column, dt = e.columns[predicate]
         value = F.col(column)
@@ -168,7 +175,7 @@ class MappedSource(GraphSource):
             made = term(F.lit(LITERAL), value.cast("string"), F.lit(dt), F.lower(F.col(e.language[predicate])), none.cast("double"), none.cast("timestamp"))
         else:
             made = term(F.lit(LITERAL), lexical(value, dt), F.lit(dt), none.cast("string"), value.cast("double") if dt in NUMERIC else none.cast("double"), value.cast("timestamp") if dt in TEMPORAL else none.cast("timestamp"))
-        return F.when(value.isNotNull(), made)
+        return made if solid else F.when(value.isNotNull(), made)
 
     def _parts(self, predicate: str) -> list[DataFrame]:
         out = []
