@@ -24,6 +24,8 @@ from .tokens import default_path, tokenizer
 CAPACITY, GROUP = 2048, 16384
 #: Of the sequences that best fit leaves underfull, the share (the emptiest) that local search tries to empty.
 DONORS = 0.25
+#: Rounds over them at most; fewer if nothing moves, or no fewer sequences could hold the tokens.
+PASSES = 20
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -97,17 +99,26 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, donor
             shift(i, a)
         return True
 
-    for a in order[: max(1, int(len(order) * donors))].tolist() if len(order) else []:
-        moved = True
-        while moved and bins[a]:
-            moved = False
-            for i in sorted(bins[a], key=lengths.__getitem__, reverse=True):
-                if where[i] == a and give([i], a):
-                    moved = True
-                    break
-            if not moved and len(bins[a]) > 1:
-                two = sorted(bins[a], key=lengths.__getitem__)[:2]
-                moved = give(two, a)
+    least = -(-int(size.sum()) // capacity)
+    for _ in range(PASSES):
+        if sum(map(bool, bins)) <= least or not len(order):
+            break
+        emptiest = order[np.argsort(fill[order], kind="stable")][: max(1, int(len(order) * donors))]
+        any_moved = False
+        for a in emptiest.tolist():
+            moved = True
+            while moved and bins[a]:
+                moved = False
+                for i in sorted(bins[a], key=lengths.__getitem__, reverse=True):
+                    if where[i] == a and give([i], a):
+                        moved = True
+                        break
+                if not moved and len(bins[a]) > 1:
+                    two = sorted(bins[a], key=lengths.__getitem__)[:2]
+                    moved = give(two, a)
+                any_moved |= moved
+        if not any_moved:
+            break
     return [x for x in bins if x]
 
 

@@ -26,7 +26,7 @@ from .common import slices, texts
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, those of least hash, whose spans the potentials are estimated from.
 SAMPLE = 3000
-CERTAIN, NEAR, ROUNDS = 0.9, 60, 8
+CERTAIN, NEAR, ROUNDS = 0.75, 60, 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,7 +150,7 @@ def fit(samples: list[str]) -> Potentials:
     personal data) on shapes; pair potentials by smoothed counts of labels across each kind of edge."""
     n = len(KINDS) + 1
     seen: Counter = Counter()
-    chain, skip = np.full((n, n), 1.0), np.full((n, n), 0.5) + np.eye(n) * 4
+    chain, skip = np.full((n, n), 1.0), np.full((n, n), 0.2) + np.eye(n) * 20
     for text in samples:
         spans, labels, edges = nodes(text)
         for (a, b), label in zip(spans, labels, strict=True):
@@ -167,8 +167,8 @@ def fit(samples: list[str]) -> Potentials:
         x = np.array([k[0] for k in seen], float)
         y = np.zeros((len(seen), n))
         y[np.arange(len(seen)), [k[1] for k in seen]] = 1
-        y[:, 1:] += 0.15 * y[:, :1] / len(KINDS)
-        y[:, 0] *= 0.85
+        y[:, 1:] += 0.3 * y[:, :1] / len(KINDS)
+        y[:, 0] *= 0.7
         count = np.array(list(seen.values()), float)
         count /= count.sum()
         for _ in range(400):

@@ -58,18 +58,16 @@ def measure(data: list[bytes]) -> dict[str, np.ndarray]:
     """The measures of each text, as arrays."""
     split = [x.split() for x in data]
     n_words = np.array([len(x) for x in split], np.int64)
+    total = int(n_words.sum())
+    # A word's number is the place where the slice has it first.
     numbers: dict[bytes, int] = {}
-    ids = np.fromiter((i for x in split for i in map(numbers.setdefault, x, count(len(numbers)))), np.int64, int(n_words.sum()))
-    # A number is the vocabulary's size when its text began plus a place in the text: two words never share one.
-    names = list(numbers)
-    total = len(ids)
-    if total:
-        unique, words = np.unique(ids, return_inverse=True)
-        chars = np.empty(len(unique), np.int64)
-        chars[np.searchsorted(unique, np.fromiter(numbers.values(), np.int64, len(names)))] = [len(x.decode("utf-8", "replace")) for x in names]
-        length = chars[words]
-    else:
-        words, length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, at = np.empty(total, np.int64), 0
+    for x in split:
+        words[at : at + len(x)] = np.fromiter(map(numbers.setdefault, x, count(at)), np.int64, len(x))
+        at += len(x)
+    chars = np.zeros(total, np.int64)
+    chars[np.fromiter(numbers.values(), np.int64, len(numbers))] = np.fromiter((len(x.decode("utf-8", "replace")) for x in numbers), np.int64, len(numbers))
+    length = chars[words]
     doc = np.repeat(np.arange(len(data)), n_words)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(data))
     word_chars = per_doc(length).astype(np.int64)

@@ -52,8 +52,13 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     misses = keys.groupBy("digest").agg(F.min("place").alias("place")).join(held, "digest", "left_anti")
     missed = plain.select(F.xxhash64("id").alias("place"), digest.alias("digest"), "text").join(misses.hint("shuffle_hash"), ["place", "digest"], "left_semi")
 
+    met: set[bytes] = set()
+
     def encode(digests: pa.Array, data: list[bytes]) -> dict:
-        return {"digest": digests, "version": [version] * len(data), "n_tokens": pa.array([len(x) // 4 for x in tokenizer(path).ids(data)], pa.int64())}
+        # Repeated rows of one id share a place; a task has all of them.
+        first = [i for i, x in enumerate(digests.to_pylist()) if x not in met and not met.add(x)]
+        digests, data = digests.take(pa.array(first, pa.int64())), [data[i] for i in first]
+        return {"digest": digests, "version": pa.array([version] * len(data), pa.string()), "n_tokens": pa.array([len(x) // 4 for x in tokenizer(path).ids(data)], pa.int64())}
 
     over_texts(missed, "digest", "text", CACHE_SCHEMA, encode, remembers=True).write.mode("append").parquet(cache)
     # A table of its own, so that the join below deals both sides out itself and AQE can split a key that many rows have.
