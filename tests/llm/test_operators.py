@@ -254,7 +254,9 @@ def test_pii(docs, none):
     want = Counter((i, pii.write(naive_spans(x or ""))) for i, x in rows())
     assert Counter((r.doc_id, r.base_sha256) for r in got) == Counter({(i, hashlib.sha256(s.encode()).hexdigest()): n for (i, s), n in want.items()})
     assert pii.spans(none, pii.learn(none)).count() == 0
-    one = next(r for r in got if r.doc_id == 32)
+    # Potentials from more than this one text: there a phone number without its plus is one where it repeats one.
+    model = pii.fit([f"call +1 ({200 + k}) 555-{1000 + k} or write to me{k}@example.com about 10.1.2.{k}" for k in range(60)])
+    one = next(r for r in pii.spans(docs, model).collect() if r.doc_id == 32)
     assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 1, 1, 1) and one.spans.count("phone:") == 2  # the repeat without its plus
     r = random.Random(3)
     for _ in range(4000):
