@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import redirect_stdout
 from dataclasses import dataclass
 from functools import reduce
+from io import StringIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +51,18 @@ class Engine:
             out[root.alias] = Planner(self, source, tuple(t.lower() for t in context.lang_tags)).root(self.registry.roots[root.name], root)
         return out
 
-    def json(self, operation: str, variables: dict | None = None, context: Context = Context()) -> dict[str, DataFrame]:
+    def json(self, operation: str, variables: dict | None = None, context: Context = Context(), name: str | None = None) -> dict[str, DataFrame]:
         """As execute, each entity as one JSON string."""
-        return {k: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json")) for k, df in self.execute(operation, variables, context).items()}
+        return {k: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json")) for k, df in self.execute(operation, variables, context, name).items()}
+
+    def explain(self, operation: str, variables: dict | None = None, context: Context = Context(), name: str | None = None, mode: str = "formatted") -> dict[str, str]:
+        """As execute, the text of each plan; nothing but closures and class trees is run."""
+        out = {}
+        for k, df in self.execute(operation, variables, context, name).items():
+            with redirect_stdout(StringIO()) as text:
+                df.explain(mode)
+            out[k] = text.getvalue()
+        return out
 
 
 class Planner:

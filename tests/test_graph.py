@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from quadlake.operators.paths import follow
 from quadlake.plans.engine import Context, Engine
+from quadlake.plans.envelope import respond
 from quadlake.plans.graphql import OperationError, accept_language, parse_operation
 from quadlake.plans.shapes import ShapeError, enum_names, parse_shapes
 from quadlake.sources.graphs import QuadSource, read_ntriples, read_results_json
@@ -167,3 +168,38 @@ def test_paths_against_naive(spark, edges):
     for kind, pairs_ in want.items():
         got = {(int(r.root[2:]), int(r.o.lex[2:])) for r in follow(source, seeds, (kind, p)).collect()}
         assert got == pairs_, kind
+
+
+def test_envelope(people):
+    def post(body, kind="application/json; charset=utf-8", **context):
+        status, answer = respond(people, kind, body if isinstance(body, bytes) else json.dumps(body).encode(), Context(**context))
+        return status, json.loads(answer)
+
+    def wrong(message):
+        return {"errors": [{"message": message}]}
+
+    assert post({}, "text/plain") == (415, wrong("Unsupported Content-Type"))
+    for body in (b"{", b"\xff", b'{"query": NaN}'):
+        assert post(body) == (400, wrong("Invalid JSON"))
+    assert post([1]) == (400, wrong("Request body must be a JSON object"))
+    assert post({"query": 3, "variables": 3}) == (400, wrong("Missing or invalid query"))
+    assert post({"query": "{ person { name } }", "variables": []}) == (400, wrong("Invalid variables"))
+    assert post({"query": "{ person { name } }", "variables": None, "operationName": 1}) == (400, wrong("Invalid operationName"))
+    two = "query One($n: Int) { person(limit: $n) { iri bio } town { name } } query Two { firm { name } }"
+    status, answer = post({"query": two, "variables": {"n": 1}, "operationName": "One"}, lang_tags=("nl",))
+    assert status == 200 and answer["data"]["person"] == [{"iri": "http://e/a", "bio": "hoi"}] and sorted(x["name"] for x in answer["data"]["town"]) == ["Oslo", "Rome"]
+    assert post({"query": "{ person(limit: 0) { name } }"}) == (200, {"data": {"person": []}})
+    for text in ("{ person { nothing } }", "{ person ", two, "mutation { x }"):
+        status, answer = post({"query": text})
+        assert status == 200 and answer["data"] is None and len(answer["errors"]) == 1
+
+
+def test_an_error_when_run_has_no_data(spark):
+    out = HEAD + "e:z a e:Person ; e:name \"Zoe\" ; e:state \"elsewhere\" ."
+    engine = Engine(parse_shapes(load_shapes(SHAPES)), QuadSource.of(spark, parse(out)), strict=True)
+    status, answer = respond(engine, "application/json", b'{"query": "{ person { state } }"}')
+    assert status == 200 and json.loads(answer)["data"] is None and json.loads(answer)["errors"]
+
+
+def test_explain(people):
+    assert "Physical Plan" in people.explain("{ person { name } }")["person"]
