@@ -1,18 +1,19 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Nodes are the spans that the patterns find (their labels are evidence) and the look-alikes that they don't: tokens
-with an @, runs of numbers. Neighbours along the text share a transition potential; a node also shares one with the
-nearest earlier node of the same key (the same digits, the same last seven, the same name before the @), however
-far back. So a repeated token costs one edge and not one for each pair. Loopy message passing then carries labels
-from evidence to look-alikes. The method adds a look-alike only if such an edge reaches it, or it passes a pattern's checks by itself as a
-part of a run that failed them, and if its label is nearly certain.
+with an @, runs of numbers. Neighbours along the text share a transition potential; all nodes of a key (the same
+digits, the same last seven, the same name before the @) are joined to a hub of that key, however far apart they
+are. So a repeated token costs one edge and not one for each pair, and any two of them are as near as two alone
+would be. Loopy message passing, until no message changes, then carries labels from evidence to look-alikes. The
+method adds a look-alike only if a hub reaches it, or it passes a pattern's checks by itself as a part of a run
+that failed them, and if its label is nearly certain.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,10 @@ from .common import slices, texts
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, those of least hash, whose spans the potentials are estimated from.
 SAMPLE = 3000
-CERTAIN, NEAR, ROUNDS = 0.75, 60, 8
+CERTAIN, NEAR = 0.75, 60
+#: Messages of a text are done when none changes by more. One that swings on is damped more after each PATIENCE rounds,
+#: until a step is less than LEAST_STEP; its last messages hold then.
+TOLERANCE, PATIENCE, LEAST_STEP = 1e-4, 200, 1 / 256
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -142,7 +146,8 @@ def keys(span: str) -> list[str]:
 class Potentials:
     unary: np.ndarray
     chain: np.ndarray
-    skip: np.ndarray
+    #: Between a node and a hub: two nodes through a hub are as one skip edge between them.
+    hub: np.ndarray
 
 
 def fit(samples: list[str]) -> Potentials:
@@ -152,14 +157,14 @@ def fit(samples: list[str]) -> Potentials:
     seen: Counter = Counter()
     chain, skip = np.full((n, n), 1.0), np.full((n, n), 0.2) + np.eye(n) * 20
     for text in samples:
-        spans, labels, edges = nodes(text)
+        spans, labels, near, names = nodes(text)
         for (a, b), label in zip(spans, labels, strict=True):
             seen[shape(text[a:b]), label] += 1
-        for i, j, far in edges:
-            if not far:
-                chain[labels[i], labels[j]] += 1
-                chain[labels[j], labels[i]] += 1
-            elif labels[i] and labels[j]:
+        for i, j in near:
+            chain[labels[i], labels[j]] += 1
+            chain[labels[j], labels[i]] += 1
+        for i, j in repeats(names):
+            if labels[i] and labels[j]:
                 skip[labels[i], labels[j]] += 1
                 skip[labels[j], labels[i]] += 1
     unary = np.zeros((len(shape("0")), n))
@@ -181,7 +186,18 @@ def fit(samples: list[str]) -> Potentials:
         p = counts / counts.sum()
         return np.log(p) - np.log(np.outer(p.sum(axis=1), p.sum(axis=0)))
 
-    return Potentials(unary, np.clip(potential(chain), -2, 2), np.clip(potential(skip), -4, 4))
+    return Potentials(unary, np.clip(potential(chain), -2, 2), half(np.clip(potential(skip), -4, 4)))
+
+
+def half(skip: np.ndarray) -> np.ndarray:
+    """The potential that makes `skip` when it is passed twice. Rows are first scaled to equal sums, which keeps all odds
+    ratios: a node that knows nothing then tells its hub nothing, however many there are."""
+    table = np.exp(skip)
+    while np.abs(table.sum(axis=1) - 1).max() > 1e-9:
+        scale = 1 / np.sqrt(table.sum(axis=1))
+        table = table * np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(table)
+    return np.log(np.maximum((vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T, 1e-4))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -189,40 +205,74 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def nodes(text: str) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int, int]]]:
-    """Spans in order, their labels (0: a look-alike), edges (earlier, later, 1 if skip)."""
+def nodes(text: str) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int]], list[list[str]]]:
+    """Spans in order, their labels (0: a look-alike), pairs of neighbours, and each span's keys."""
     base = base_spans(text)
     found = sorted([(a, b, k + 1) for k, a, b in base] + [(a, b, 0) for a, b in look_alikes(text, base)]) if base or "@" in text or _NUMBER.search(text) else []
-    edges, last = [], {}
-    for i, (a, b, _) in enumerate(found):
-        if i and a - found[i - 1][1] <= NEAR:
-            edges.append((i - 1, i, 0))
-        linked = set()
-        for key in keys(text[a:b]):
-            if key in last and last[key] not in linked:
-                edges.append((last[key], i, 1))
-                linked.add(last[key])
+    near = [(i - 1, i) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= NEAR]
+    return [x[:2] for x in found], [x[2] for x in found], near, [keys(text[a:b]) for a, b, _ in found]
+
+
+def repeats(names: list[list[str]]) -> set[tuple[int, int]]:
+    """Pairs of a node and the nearest earlier one of the same key, from all nodes' keys: what skip potentials count."""
+    last: dict[str, int] = {}
+    out = set()
+    for i, found in enumerate(names):
+        for key in found:
+            if key in last:
+                out.add((last[key], i))
             last[key] = i
-    return [x[:2] for x in found], [x[2] for x in found], edges
+    return out
+
+
+def hubs(names: list[list[str]]) -> tuple[int, list[tuple[int, int]]]:
+    """How many hubs there are, and edges (node, hub) to them; they count on from the nodes. Nodes of the same digits
+    have one, those of the same last seven one above it: no loops."""
+    exact, wide = defaultdict(list), defaultdict(list)
+    for i, found in enumerate(names):
+        if found:
+            exact[tuple(found)].append(i)
+    size, edges = len(names), []
+
+    def join(members: list[int]) -> int:
+        nonlocal size
+        edges.extend((i, size) for i in members)
+        size += 1
+        return size - 1
+
+    for found, members in exact.items():
+        wide[found[-1]] += [join(members)] if len(found) > 1 and len(members) > 1 else members
+    for members in wide.values():
+        if len(members) > 1:
+            join(members)
+    return size - len(names), edges
 
 
 def propagate(scores: np.ndarray, edges: np.ndarray, model: Potentials) -> np.ndarray:
-    """Marginals of all nodes by sum-product messages along all edges at once, damped."""
+    """Marginals of all nodes by damped sum-product messages along all edges (a node, another, 1 if that is a hub, the
+    text) at once; a text leaves the rounds when its messages stand still."""
     if not len(edges):
         return _softmax(scores)
-    n = scores.shape[1]
+    count = len(edges)
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    potential = np.exp(np.where(edges[:, 2, None, None] == 1, model.skip, model.chain))
-    potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    message = np.zeros((len(source), n))
-    for _ in range(ROUNDS):
+    tables, kind, owner = np.exp(np.stack([model.chain, model.hub])), np.tile(edges[:, 2], 2), np.tile(edges[:, 3], 2)
+    message = np.zeros((2 * count, scores.shape[1]))
+    live, step, rounds = np.arange(count), 0.5, 0
+    while len(live) and step >= LEAST_STEP:
+        rows, back = np.concatenate([live, live + count]), np.concatenate([live + count, live])
         belief = scores.copy()
-        np.add.at(belief, target, message)
-        out = belief[source] - message[back]
+        np.add.at(belief, target[rows], message[rows])
+        out = belief[source[rows]] - message[back]
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.log(np.maximum(np.einsum("ek,ekl->el", out, potential), 1e-30))
-        message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        new = np.log(np.maximum(np.einsum("ek,ekl->el", out, tables[kind[rows]]), 1e-30))
+        change = new - new.max(axis=1, keepdims=True) - message[rows]
+        message[rows] += step * change
+        most = np.zeros(owner.max() + 1)
+        np.maximum.at(most, owner[rows], np.abs(change).max(axis=1))
+        live = live[most[owner[live]] > TOLERANCE]
+        rounds += 1
+        if rounds % PATIENCE == 0:
+            step /= 2
     belief = scores.copy()
     np.add.at(belief, target, message)
     return _softmax(belief)
@@ -230,33 +280,35 @@ def propagate(scores: np.ndarray, edges: np.ndarray, model: Potentials) -> np.nd
 
 def find(data: list[str], model: Potentials) -> list[tuple[list[Span], list[Span]]]:
     """Of each text: its base spans, and all spans, both by kind, then start."""
-    out, graph, at = [], [], 0
-    for text in data:
-        spans, labels, edges = nodes(text) if "@" in text or _DIGITS.search(text) else ([], [], [])
-        out.append((spans, labels, at))
-        graph += [(i + at, j + at, k) for i, j, k in edges]
-        at += len(spans)
+    out, graph, linked, at = [], [], set(), 0
+    for number, text in enumerate(data):
+        spans, labels, near, names = nodes(text) if "@" in text or _DIGITS.search(text) else ([], [], [], [])
+        extra, joined = hubs(names)
+        out.append((spans, labels, names, at))
+        # Neighbours of one key are tied by its hub; a transition is between different things.
+        graph += [(i + at, j + at, 0, number) for i, j in near if not names[i] or names[i][-1] not in names[j]] + [(i + at, j + at, 1, number) for i, j in joined]
+        linked.update(i + at for i, _ in joined)
+        at += len(spans) + extra
     scores, evident = np.zeros((at, len(KINDS) + 1)), set()
-    for text, (spans, labels, first) in zip(data, out, strict=True):
-        for k, ((a, b), label) in enumerate(zip(spans, labels, strict=True)):
+    for text, (spans, labels, names, first) in zip(data, out, strict=True):
+        # What a look-alike's looks say is said once for all that share its key, not again by each.
+        alike = Counter(found[-1] for found, label in zip(names, labels, strict=True) if found and not label)
+        for k, ((a, b), label, found) in enumerate(zip(spans, labels, names, strict=True)):
             if label:
                 scores[first + k] = -20
                 scores[first + k, label] = 0
             else:
-                scores[first + k] = np.array(shape(text[a:b]), float) @ model.unary
+                scores[first + k] = np.array(shape(text[a:b]), float) @ model.unary / (alike[found[-1]] if found else 1)
                 if passed := whole(text[a:b]):
                     scores[first + k, passed] += 8
                     evident.add(first + k)
-    edges = np.array(graph, np.int64).reshape(-1, 3)
-    linked = np.zeros(at, bool)
-    linked[edges[edges[:, 2] == 1, :2].ravel()] = True
-    marginal = propagate(scores, edges, model)
+    marginal = propagate(scores, np.array(graph, np.int64).reshape(-1, 4), model)
     result = []
-    for spans, labels, first in out:
+    for spans, labels, _, first in out:
         base = sorted((label - 1, a, b) for (a, b), label in zip(spans, labels, strict=True) if label)
         extra = []
         for k, (a, b) in enumerate(spans):
-            if not labels[k] and (linked[first + k] or first + k in evident) and (best := int(marginal[first + k].argmax())) and marginal[first + k, best] >= CERTAIN:
+            if not labels[k] and (first + k in linked or first + k in evident) and (best := int(marginal[first + k].argmax())) and marginal[first + k, best] >= CERTAIN:
                 extra.append((best - 1, a, b))
         result.append((base, sorted(base + extra)))
     return result

@@ -265,6 +265,16 @@ def test_pii(docs, none):
     assert pii.masked("a bob@x.org b", [(0, 2, 11)]) == "a [EMAIL] b" and pii.base_spans("9" * 200000 + "@" * 1000) == []
 
 
+def test_pii_evidence_reaches_all_mentions():
+    model = pii.fit([])  # prior pair potentials; looks say nothing
+    model.unary[:] = 0
+    for fill in (" or ", " word" * 40 + " "):  # neighbours of each other, and none
+        for first in ("+1 (415) 555-0001", "+415 555 0001"):  # the last seven digits alike, and all
+            ((base, every),) = pii.find([fill.join([first, *["(415) 555-0001"] * 30])], model)
+            assert len(base) == 1 and len(every) == 31 and {k for k, _, _ in every} == {3}
+        assert pii.find([fill.join(["(415) 555-0001"] * 30)], model) == [([], [])]
+
+
 def naive_components(data):
     sets = []
     for _, x in data:
