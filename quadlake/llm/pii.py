@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents, those of least hash, whose spans the potentials are estimated from.
-SAMPLE = 3000
 CERTAIN, NEAR = 0.75, 60
 #: Messages of a text are done when none changes by more. One that swings on is damped more after each PATIENCE rounds,
 #: until a step is less than LEAST_STEP; its last messages hold then.
@@ -150,23 +148,39 @@ class Potentials:
     hub: np.ndarray
 
 
+#: What is counted: spans by bits of their shape and label, label pairs of neighbours and of repeats.
+SEEN, NEIGHBOURS, REPEATS = range(3)
+
+
+def count(text: str) -> Iterator[tuple[int, int, int]]:
+    """All that potentials are estimated from; how many distinct ones there are has a bound."""
+    spans, labels, near, names = nodes(text)
+    for (a, b), label in zip(spans, labels, strict=True):
+        yield SEEN, sum(bool(x) << k for k, x in enumerate(shape(text[a:b]))), label
+    for what, pairs in ((NEIGHBOURS, near), (REPEATS, repeats(names))):
+        for i, j in pairs:
+            yield what, labels[i], labels[j]
+
+
 def fit(samples: list[str]) -> Potentials:
+    return estimate(Counter(x for text in samples for x in count(text)))
+
+
+def estimate(counts: dict[tuple[int, int, int], int]) -> Potentials:
     """Piecewise: unary weights by logistic regression of base labels (look-alikes are a mixture that is mostly no
     personal data) on shapes; pair potentials by smoothed counts of labels across each kind of edge."""
     n = len(KINDS) + 1
     seen: Counter = Counter()
     chain, skip = np.full((n, n), 1.0), np.full((n, n), 0.2) + np.eye(n) * 20
-    for text in samples:
-        spans, labels, near, names = nodes(text)
-        for (a, b), label in zip(spans, labels, strict=True):
-            seen[shape(text[a:b]), label] += 1
-        for i, j in near:
-            chain[labels[i], labels[j]] += 1
-            chain[labels[j], labels[i]] += 1
-        for i, j in repeats(names):
-            if labels[i] and labels[j]:
-                skip[labels[i], labels[j]] += 1
-                skip[labels[j], labels[i]] += 1
+    for (what, i, j), times in sorted(counts.items()):
+        if what == SEEN:
+            seen[tuple(i >> k & 1 for k in range(len(shape("0")))), j] = times
+        elif what == NEIGHBOURS:
+            chain[i, j] += times
+            chain[j, i] += times
+        elif i and j:
+            skip[i, j] += times
+            skip[j, i] += times
     unary = np.zeros((len(shape("0")), n))
     if seen:
         x = np.array([k[0] for k in seen], float)
@@ -174,11 +188,11 @@ def fit(samples: list[str]) -> Potentials:
         y[np.arange(len(seen)), [k[1] for k in seen]] = 1
         y[:, 1:] += 0.3 * y[:, :1] / len(KINDS)
         y[:, 0] *= 0.7
-        count = np.array(list(seen.values()), float)
-        count /= count.sum()
+        share = np.array(list(seen.values()), float)
+        share /= share.sum()
         for _ in range(400):
             p = _softmax(x @ unary)
-            unary -= 2.0 * (x.T @ ((p - y) * count[:, None]) + 1e-4 * unary)
+            unary -= 2.0 * (x.T @ ((p - y) * share[:, None]) + 1e-4 * unary)
     else:
         unary[0, 0] = 4
 
@@ -253,13 +267,13 @@ def propagate(scores: np.ndarray, edges: np.ndarray, model: Potentials) -> np.nd
     text) at once; a text leaves the rounds when its messages stand still."""
     if not len(edges):
         return _softmax(scores)
-    count = len(edges)
+    size = len(edges)
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     tables, kind, owner = np.exp(np.stack([model.chain, model.hub])), np.tile(edges[:, 2], 2), np.tile(edges[:, 3], 2)
-    message = np.zeros((2 * count, scores.shape[1]))
-    live, step, rounds = np.arange(count), 0.5, 0
+    message = np.zeros((2 * size, scores.shape[1]))
+    live, step, rounds = np.arange(size), 0.5, 0
     while len(live) and step >= LEAST_STEP:
-        rows, back = np.concatenate([live, live + count]), np.concatenate([live + count, live])
+        rows, back = np.concatenate([live, live + size]), np.concatenate([live + size, live])
         belief = scores.copy()
         np.add.at(belief, target[rows], message[rows])
         out = belief[source[rows]] - message[back]
@@ -318,22 +332,19 @@ def write(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Potentials:
-    """Potentials from the texts of at most `sample` ids of least hash; only these cross to the driver, and of each
-    only its shapes' surroundings matter, so a text gives its first 200 spans' lines at most."""
-    ids = docs.select(docs[id_col].alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+def learn(docs: DataFrame, text_col: str = "text") -> Potentials:
+    """Potentials from all spans of all texts; only sums cross to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for part in slices(batches, "text"):
-            kept = []
-            for x in part.column("text").to_pylist():
-                spans = nodes(x)[0][:200]
-                if spans:
-                    kept.append("\n".join(x[max(0, a - NEAR // 2) : b + NEAR // 2] for a, b in spans))
-            yield pa.RecordBatch.from_pydict({"text": pa.array(kept, pa.string())})
-
-    return fit(sorted(rows.select("text").mapInArrow(run, "text string").toArrow().column(0).to_pylist()))
+            for x in texts(part, "text"):
+                held.update(count(x.decode("utf-8", "replace")))
+        what, i, j = zip(*held, strict=True) if held else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"what": pa.array(what, pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "n": pa.array(list(held.values()), pa.int64())})
+
+    found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "what int, i int, j int, n bigint").groupBy("what", "i", "j").agg(F.sum("n").alias("n")).collect()
+    return estimate({(r.what, r.i, r.j): r.n for r in found})
 
 
 def spans(docs: DataFrame, model: Potentials, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -275,6 +275,17 @@ def test_pii_evidence_reaches_all_mentions():
         assert pii.find([fill.join(["(415) 555-0001"] * 30)], model) == [([], [])]
 
 
+def test_pii_learns_from_every_span(spark):
+    plain = [(k, f"nothing here {k}") for k in range(4000)]
+    some = [(4000 + k, f"call +1 ({200 + k}) 555-{1000 + k} or ({200 + k}) 555-{1000 + k}" + " far away" * 20 + f" me{k}@example.com") for k in range(20)]
+    long = [(5000, " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(600))), (None, "me@example.com you@example.com")]
+    df = spark.createDataFrame([*plain, *some, *long], "doc_id bigint, text string")
+    got, want = pii.learn(df), pii.fit([x for _, x in some + long])
+    assert np.allclose(got.unary, want.unary) and np.allclose(got.chain, want.chain) and np.allclose(got.hub, want.hub)
+    none = pii.learn(df.where("doc_id = -1"))
+    assert np.allclose(none.unary, pii.fit([]).unary) and np.allclose(none.hub, pii.fit([]).hub)
+
+
 def naive_components(data):
     sets = []
     for _, x in data:
