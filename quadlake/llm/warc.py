@@ -169,9 +169,10 @@ class CaptureIndex:
     blocks: list[tuple[str, int, int]]
 
     def block(self, key: bytes) -> int:
-        """The last block that may begin the lines of a key; -1 before the first."""
+        """The first block that may hold lines of a key, which can begin at the end of the block before one that the
+        key is the first of; -1 before the first."""
         at = bisect_left(self.keys, key)
-        return at if at < len(self.keys) and self.keys[at] == key else at - 1
+        return max(at - 1, 0) if at < len(self.keys) and self.keys[at] == key else at - 1
 
 
 def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
@@ -208,9 +209,10 @@ def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
     return CaptureIndex([x["first"].encode() for x in found], [(x["file"], x["offset"], x["length"]) for x in found])
 
 
-def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", url_col: str = "url", once: bool = False) -> DataFrame:
     """A row for each request (a URL and a page id) and each of its captures: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, payload_ok (a response's bytes have its digest)."""
+    payload_digest, record_type, refers_to, payload_ok (a response's bytes have its digest). With `once`, requests
+    of the same key, whose URLs may differ in scheme or fragment, are one request."""
     shared = requests.sparkSession.sparkContext.broadcast(index)
     plain = requests.select(requests[id_col].cast("bigint").alias("page_id"), requests[url_col].cast("string").alias("url"))
 
@@ -222,7 +224,7 @@ def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", ur
     placed = plain.mapInArrow(place, "key string, block bigint").where("block >= 0")
     # A few blocks a task: the rows are narrow, but each reads a record.
     # A key asked for again and again is read once: its captures carry the number of requests.
-    asked = placed.groupBy("block", "key").agg(F.count("*").alias("times")).repartition(max(16, -(-len(index.keys) // 4)), "block").sortWithinPartitions("block", "key")
+    asked = placed.groupBy("block", "key").agg((F.lit(1) if once else F.count("*")).alias("times")).repartition(max(16, -(-len(index.keys) // 4)), "block").sortWithinPartitions("block", "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, now, lines, keys = Ranges(), -1, [], []
@@ -259,8 +261,8 @@ def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", ur
 
 
 def archive_and_read_back(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes all pages, indexes them, looks every distinct URL and id up. Null html is an empty payload; a null URL
+    """Writes all pages, indexes them, looks every distinct key up. Null html is an empty payload; a null URL
     has the key "-"; rows that repeat an id and a URL each have a record and a row; an empty table gives none."""
     folder = folder or new_folder(pages.sparkSession, "archive")
     index = build_index(write_archives(pages, folder, min_bytes=min_bytes), folder)
-    return lookup(pages.select("page_id", "url").distinct(), index)
+    return lookup(pages.select("page_id", "url"), index, once=True)

@@ -148,6 +148,19 @@ def test_warc_many_blocks(spark, tmp_path, monkeypatch):
     assert sorted(r.page_id for r in got) == list(range(100)) and all((r.record_type == "response") == (r.page_id >= 80) for r in got)
 
 
+def test_warc_repeats_straddle_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    # Blocks are [1 1 2] [2 2 2] [2 3 3] [4 n n] [n n]: keys that begin at the end of a block, fill blocks, or repeat a null id.
+    ids = [1, 1, *[2] * 5, 3, 3, 4, *[None] * 4]
+    df = spark.createDataFrame([(k, "http://a.org/" if k else "http://z.org/", f"page {k}") for k in ids], "page_id bigint, url string, html string")
+    got = warc.archive_and_read_back(df.coalesce(1), f"file://{tmp_path}/w").collect()
+    assert Counter(r.page_id for r in got) == Counter(ids)
+    # URLs of one key: a row for each of the rows, not for each pair of them.
+    same = spark.createDataFrame([(1, "http://a.org/", "x"), (1, "https://a.org/#f", "y"), (None, None, "z"), (None, "", "z")], "page_id bigint, url string, html string")
+    got = warc.archive_and_read_back(same, f"file://{tmp_path}/s").collect()
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((k, warc.digest(x)) for k, x in [(1, b"x"), (1, b"y"), (None, b"z"), (None, b"z")])
+
+
 def test_token_counts(docs, none, spark, tmp_path):
     lib = library()
     want = sorted(((i, len((x or "").encode()), len(lib.encode(x or "", add_special_tokens=False).ids)) for i, x in rows()), key=repr)
