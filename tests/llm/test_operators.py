@@ -70,6 +70,16 @@ def test_lm_rare_words_join_alike(docs, monkeypatch):
     assert few == {x[:3] for x in every}
 
 
+def test_lm_words_choose_their_classes(spark):
+    # 300 words of each of two sorts that alternate, all with one ending: most stand beyond the coarse table.
+    r = random.Random(1)
+    sorts = [[f"{s}{k}xyz" for k in range(300)] for s in "ab"]
+    df = spark.createDataFrame([(" ".join(r.choice(sorts[k % 2]) for k in range(400)),) for _ in range(100)], "text string")
+    model = lm_scoring.train(df, lm_scoring.count_words(df))
+    one, two = (set(model.class_of[model.units.of([x.encode() for x in s])].tolist()) for s in sorts)
+    assert not one & two
+
+
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(0)
     pairs = np.zeros((12, 12))
