@@ -2,9 +2,10 @@
 
 Documents become token pieces of at most `capacity`; pieces are dealt at random into groups of about GROUP, each of
 which one task packs on its own (a group wastes one sequence at most, in thousands). A group starts from best fit
-by falling length. Then the emptiest sequences give their pieces away: one moves, changes places with a shorter
-one, with two that are shorter together, or two of them with one, whenever that increases the sum of squared fills,
-until sequences empty.
+by falling length. Then underfull sequences, the emptiest first, give their pieces away: one piece or two move, one
+changes places with a shorter one or with two that are shorter together, or two of them with one, whenever that
+increases the sum of squared fills. The search ends when no piece or pair of pieces of any underfull sequence finds an
+exchange, or when no fewer sequences could hold the tokens.
 """
 
 from __future__ import annotations
@@ -22,11 +23,6 @@ from .common import over_texts, stored
 from .tokens import default_path, tokenizer
 
 CAPACITY, GROUP = 2048, 16384
-#: Of the sequences that best fit leaves underfull, the share (the emptiest) that local search tries to empty.
-DONORS = 0.25
-#: Rounds over them at most; fewer if nothing moves, or no fewer sequences could hold the tokens.
-PASSES = 20
-
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of places in `lengths`, longest first, each into the fullest bin that has room."""
@@ -46,80 +42,98 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, donors: float = DONORS) -> list[list[int]]:
-    """The bins after exchanges, without those that emptied. Each exchange increases the sum of squared fills."""
-    size = np.array(lengths, np.int64)
-    where = np.empty(len(lengths), np.int64)
-    for b, x in enumerate(bins):
-        where[x] = b
-    fill = np.bincount(where, weights=size, minlength=len(bins)).astype(np.int64)
-    bins = [list(x) for x in bins]
-    under = np.flatnonzero(fill < capacity)
-    order = under[np.argsort(fill[under], kind="stable")]
-    # Exchanges look at the bins that still have room; their pieces and pairs of pieces stand in arrays.
-    open_items = np.array([i for b in order for i in bins[b]], np.int64)
-    pairs = np.array([(x, y) for b in order for k, x in enumerate(bins[b][:8]) for y in bins[b][k + 1 : 8]], np.int64).reshape(-1, 2)
-
-    def shift(i: int, b: int) -> None:
-        a = where[i]
-        bins[a].remove(i)
-        bins[b].append(i)
-        fill[a] -= size[i]
-        fill[b] += size[i]
-        where[i] = b
-
-    def give(given: list[int], a: int) -> bool:
-        """Finds the exchange of these pieces of bin a that fills another bin most; does it."""
-        total = int(size[given].sum())
-        room = capacity - fill
+class Search:
+    """The bins of one group while pieces change places; `targets` holds what may come back for pieces given away."""
+
+    def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
+        self.size, self.capacity = np.array(lengths, np.int64), capacity
+        self.bins = [list(x) for x in bins]
+        self.where = np.empty(len(lengths), np.int64)
+        for b, x in enumerate(bins):
+            self.where[x] = b
+        self.fill = np.bincount(self.where, weights=self.size, minlength=len(bins)).astype(np.int64)
+        self.look()
+
+    def look(self) -> None:
+        """Bins with room, the emptiest first; their pieces, and all pairs of pieces of one bin."""
+        under = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
+        self.open = under[np.argsort(self.fill[under], kind="stable")]
+        self.single = np.array([i for b in self.open for i in self.bins[b]], np.int64)
+        both = []
+        for b in self.open:
+            x = np.array(self.bins[b], np.int64)
+            first, second = np.triu_indices(len(x), 1)
+            both.append(np.stack([x[first], x[second]], axis=1))
+        self.pair = np.concatenate(both) if both else np.zeros((0, 2), np.int64)
+        self.pair_size = self.size[self.pair].sum(axis=1)
+
+    def shift(self, i: int, b: int) -> None:
+        a = self.where[i]
+        self.bins[a].remove(i)
+        self.bins[b].append(i)
+        self.fill[a] -= self.size[i]
+        self.fill[b] += self.size[i]
+        self.where[i] = b
+
+    def give(self, given: list[int], a: int) -> bool:
+        """Finds the exchange of these pieces of bin a that fills another, no emptier bin most; does it."""
+        total = int(self.size[given].sum())
+        room = self.capacity - self.fill
         room[a] = -1
-        room[fill < fill[a]] = -1
-        fits = room[order] - total
-        if (fits >= 0).any():
-            b = order[np.argmin(np.where(fits >= 0, fits, capacity))]
+        room[(self.fill < self.fill[a]) | (self.fill == 0)] = -1
+        left = room[self.open] - total
+        if (left >= 0).any():
+            b = self.open[np.argmin(np.where(left >= 0, left, self.capacity))]
             for i in given:
-                shift(i, b)
+                self.shift(i, b)
             return True
         best, back, to = 0, [], -1
-        gain = total - size[open_items]
-        gain[(gain > room[where[open_items]]) | (where[open_items] == a)] = 0
-        if len(gain) and (k := int(np.argmax(gain))) >= 0 and gain[k] > best:
-            best, back, to = int(gain[k]), [int(open_items[k])], int(where[open_items[k]])
-        if len(given) == 1 and len(pairs):
-            gain = total - size[pairs].sum(axis=1)
-            home = where[pairs]
+        home = self.where[self.single]
+        gain = total - self.size[self.single]
+        gain[(gain > room[home]) | (home == a)] = 0
+        if len(gain) and gain[k := int(np.argmax(gain))] > best:
+            best, back, to = int(gain[k]), [int(self.single[k])], int(home[k])
+        if len(given) == 1 and len(self.pair):
+            gain = total - self.pair_size
+            home = self.where[self.pair]
             gain[(home[:, 0] != home[:, 1]) | (gain > room[home[:, 0]])] = 0
             if gain[k := int(np.argmax(gain))] > best:
-                best, back, to = int(gain[k]), pairs[k].tolist(), int(home[k, 0])
-        if best <= 0 or fill[to] + best <= fill[a]:
+                best, back, to = int(gain[k]), self.pair[k].tolist(), int(home[k, 0])
+        if best <= 0 or self.fill[to] + best <= self.fill[a]:
             return False
         for i in given:
-            shift(i, to)
+            self.shift(i, to)
         for i in back:
-            shift(i, a)
+            self.shift(i, a)
         return True
 
-    least = -(-int(size.sum()) // capacity)
-    for _ in range(PASSES):
-        if sum(map(bool, bins)) <= least or not len(order):
-            break
-        emptiest = order[np.argsort(fill[order], kind="stable")][: max(1, int(len(order) * donors))]
+    def empty(self, a: int) -> bool:
+        """Gives away what bin a can: pieces, the longest first, then pairs of them; whether any moved."""
         any_moved = False
-        for a in emptiest.tolist():
-            moved = True
-            while moved and bins[a]:
-                moved = False
-                for i in sorted(bins[a], key=lengths.__getitem__, reverse=True):
-                    if where[i] == a and give([i], a):
-                        moved = True
-                        break
-                if not moved and len(bins[a]) > 1:
-                    two = sorted(bins[a], key=lengths.__getitem__)[:2]
-                    moved = give(two, a)
-                any_moved |= moved
-        if not any_moved:
-            break
-    return [x for x in bins if x]
+        while self.bins[a]:
+            mine = sorted(self.bins[a], key=self.size.__getitem__, reverse=True)
+            # Of pieces of one length, one stands for all.
+            tries = [[i] for i in {int(self.size[i]): i for i in mine}.values()]
+            tries += sorted({tuple(sorted((int(self.size[i]), int(self.size[j])))): [i, j] for k, i in enumerate(mine) for j in mine[k + 1 :]}.values(), key=lambda x: -int(self.size[x].sum()))
+            if not any(self.give(x, a) for x in tries):
+                return any_moved
+            any_moved = True
+        return any_moved
+
+
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """The bins after exchanges, without those that emptied. Each exchange increases the sum of squared fills."""
+    search, least = Search(lengths, bins, capacity), -(-sum(lengths) // capacity)
+    moved = True
+    while moved and sum(map(bool, search.bins)) > least:
+        moved = False
+        for a in search.open.tolist():
+            if search.bins[a] and search.empty(a):
+                moved = True
+                if sum(map(bool, search.bins)) <= least:
+                    break
+        search.look()
+    return [x for x in search.bins if x]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -127,7 +141,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document's ids and `end`: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """Pieces of each document's ids and `end`: the id, piece, start, length, ids_crc32 and, if asked for, ids."""
     path = path or default_path()
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     last = end.to_bytes(4, "little")
@@ -145,10 +159,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path
                 crc.append(zlib.crc32(part))
                 if with_ids:
                     held.append(np.frombuffer(part, "<i4"))
-        out = {"doc_id": ids.take(pa.array(take, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+        out = {id_col: ids.take(pa.array(take, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
         return out | ({"ids": pa.array(held, pa.list_(pa.int32()))} if with_ids else {})
 
-    return over_texts(docs, id_col, text_col, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, rows, remembers=True)
+    return over_texts(docs, id_col, text_col, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, rows, remembers=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
