@@ -11,12 +11,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import over_texts
+from .common import over_texts, slices, stored
 
 #: Bytes in a row of the image that stores a text; a text is padded to a positive multiple of it.
 WIDTH = 64
 TILE = 16
+#: Rows of an integral image that are held at a time.
+BLOCK = 4096
 _HEADER = re.compile(rb"P([1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)")
 _MAXIMUM = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)\s")
 
@@ -100,29 +103,46 @@ def _edges(total: np.ndarray, size: int) -> np.ndarray:
     return total[low] * (1 - part) + total[low + 1] * part
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Each new sample is the mean of the area that it covers, read off an integral image."""
+def resize(image: np.ndarray, height: int, width: int, block: int = BLOCK) -> np.ndarray:
+    """Each new sample is the mean of the area that it covers, read off an integral image. Of that image only the rows
+    that are read are kept; it is made from `block` rows at a time."""
     if image.ndim == 3:
-        return np.stack([resize(image[:, :, k], height, width) for k in range(image.shape[2])], axis=2)
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.int64), axis=1, out=total[1:, 1:])
-    corner = _edges(_edges(total, height).T, width).T
-    area = image.shape[0] * image.shape[1] / (height * width)
+        return np.stack([resize(image[:, :, k], height, width, block) for k in range(image.shape[2])], axis=2)
+    tall = len(image)
+    place = np.arange(height + 1) * (tall / height)
+    low = np.minimum(place.astype(np.int64), tall - 1)
+    part = (place - low)[:, None]
+    above, below = np.zeros((height + 1, image.shape[1])), np.zeros((height + 1, image.shape[1]))
+    total = np.zeros((1, image.shape[1]), np.int64)
+    for at in range(0, tall, block):
+        # Row k of the integral image is the sum of the k rows before.
+        rows = np.concatenate([total, total + np.cumsum(image[at : at + block], axis=0, dtype=np.int64)])
+        for out, wanted in ((above, low), (below, low + 1)):
+            here = np.flatnonzero((wanted >= at) & (wanted < at + len(rows)))
+            out[here] = rows[wanted[here] - at]
+        total = rows[-1:]
+    edges = above * (1 - part) + below * part
+    corner = _edges(np.concatenate([np.zeros((1, height + 1)), np.cumsum(edges, axis=1).T]), width).T
+    area = tall * image.shape[1] / (height * width)
     return np.diff(np.diff(corner, axis=0), axis=1) / area
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Halves go up, whatever the last bits of a sum are."""
+    return np.floor(x + (0.5 + 1e-6))
+
+
 def tile(image: np.ndarray, size: int = TILE) -> bytes:
     """The image, resized to a square, as an NPY file of 8-bit samples."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(image, size, size)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(np.clip(_rounded(resize(image, size, size)), 0, 255).astype(np.uint8)), allow_pickle=False)
     return out.getvalue()
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether each of 8 x 9 areas is darker than the next in its row."""
-    if image.ndim == 3:
-        image = image.mean(axis=2)
-    small = np.rint(resize(image, 8, 9) * 256)
+    small = resize(image, 8, 9)
+    small = _rounded((small.mean(axis=2) if small.ndim == 3 else small) * 256)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -133,55 +153,37 @@ def store_text(text: bytes) -> bytes:
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and media, the stored form of each whole text. Null and empty texts are one row of zeros."""
+    """id, n_bytes and media, the stored form of each whole text. Null and empty texts are one row of zeros; null ids
+    stay null; repeated rows repeat."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = lambda ids, data: {id_col: ids, "n_bytes": pa.array([len(x) for x in data], pa.int64()), "media": pa.array([store_text(x) for x in data], pa.binary())}
     return over_texts(docs, id_col, text_col, f"`{id_col}` {kind}, n_bytes bigint, media binary", rows)
 
 
-def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Decodes a media column: id, payload (its samples), width, height, tile (NPY), dhash. Nulls give nulls."""
-    kind = media.select(id_col).schema[0].dataType.simpleString()
-    plain = media.select(media[id_col].alias(id_col), media[media_col].alias("media"))
+def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
+    """Decodes a media column: id, the columns in `keep`, width, height, media_bytes, media_sha256, payload_bytes,
+    payload_sha256 and tail_crc32 (of all samples, and of the last 64), tile (an NPY file) and dhash. Null media give
+    nulls. Media are decoded one at a time, out of slices of bounded bytes."""
+    types = {c: media.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    plain = media.select(*(media[c].alias(f"c{k}") for k, c in enumerate(types)), media[media_col].cast("binary").alias("media"))
+    made = {"width": pa.int32(), "height": pa.int32(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "tile": pa.binary(), "dhash": pa.string()}
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                images = [None if x is None else decode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    id_col: part.column(0),
-                    "payload": pa.array([None if x is None else x.tobytes() for x in images], pa.binary()),
-                    "width": pa.array([None if x is None else x.shape[1] for x in images], pa.int32()),
-                    "height": pa.array([None if x is None else x.shape[0] for x in images], pa.int32()),
-                    "tile": pa.array([None if x is None else tile(x) for x in images], pa.binary()),
-                    "dhash": pa.array([None if x is None else difference_hash(x) for x in images], pa.string()),
-                })
-
-    return plain.mapInArrow(run, f"`{id_col}` {kind}, payload binary, width int, height int, tile binary, dhash string")
-
-
-def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored form of each text reads back as, next to its features."""
-    kind = media.select(id_col).schema[0].dataType.simpleString()
-    plain = media.select(id_col, "n_bytes", "media")
+    def one(data: bytes) -> tuple:
+        image = decode(data)
+        payload = image.tobytes()
+        return image.shape[1], image.shape[0], len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), tile(image, size), difference_hash(image)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                stored = part.column(2).to_pylist()
-                images = [decode(x) for x in stored]
-                payloads = [x.tobytes() for x in images]
-                yield pa.RecordBatch.from_pydict({
-                    id_col: part.column(0),
-                    "n_bytes": part.column(1),
-                    "payload_bytes": pa.array([len(x) for x in payloads], pa.int64()),
-                    "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payloads],
-                    "tail_crc32": pa.array([zlib.crc32(x[-64:]) for x in payloads], pa.int64()),
-                    "media_bytes": pa.array([len(x) for x in stored], pa.int64()),
-                    "media_sha256": [hashlib.sha256(x).hexdigest() for x in stored],
-                    "feature": [difference_hash(x) + ":" + hashlib.sha256(tile(x)).hexdigest()[:16] for x in images],
-                })
-
-    return plain.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+        for part in slices(batches, "media"):
+            rows = [one(x.as_buffer().to_pybytes()) if x.is_valid else (None,) * len(made) for x in part.column("media")]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(types))), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), made.values(), strict=True))], names=[*types, *made])
+
+    return plain.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "width int, height int, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, tile binary, dhash string"]))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores each text as an image in the shared folder, reads the images back, stores their tiles and hashes there
+    too, and gives what those read back as."""
+    media = stored(media_column(docs, id_col, text_col), "media")
+    found = stored(features(media, id_col, keep=("n_bytes",)), "media-features")
+    return found.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat("dhash", F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16)).alias("feature"))

@@ -35,7 +35,7 @@ def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.media_column(table(spark, sf_dir, "documents")))
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +79,13 @@ _ORACLES: dict[str, str] = {
   x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS hex, keeper FROM p JOIN k USING (h))
   SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to, true AS payload_ok FROM x""",
     "op5_repetition_coverage": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-  word AS (SELECT doc_id, word, i, length(word) AS size FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[	- ]+') if x <> ''] AS words FROM t))),
+  word AS (SELECT doc_id, word, i, length(word) AS size FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[	-
+ ]+') if x <> ''] AS words FROM t))),
   n AS (SELECT doc_id, count(*) AS n_words, CAST(sum(size) AS BIGINT) AS word_chars FROM word GROUP BY 1),
-  line AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS copy FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^	- ]')),
-  dup AS (SELECT doc_id, count(*) AS n_dup, sum(length(regexp_replace(line, '[	- ]', '', 'g'))) AS chars FROM line WHERE copy > 1 GROUP BY 1),
+  line AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS copy FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^	-
+ ]')),
+  dup AS (SELECT doc_id, count(*) AS n_dup, sum(length(regexp_replace(line, '[	-
+ ]', '', 'g'))) AS chars FROM line WHERE copy > 1 GROUP BY 1),
   {_grams(3)}, {_cover(3, "CASE WHEN copies > 1 THEN 1 ELSE 0 END", "1")}, {_NGRAMS},
   m AS (SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_dup, 0) AS n_dup_lines, CAST(coalesce(c3.covered, 0) AS BIGINT) AS n_repeat_words, coalesce(dup.chars, 0) / CAST(greatest(coalesce(word_chars, 0), 1) AS DOUBLE) AS line_share, {", ".join(f"{_SHARE.format(n=n)} AS share{n}" for n in _LIMITS)}
@@ -90,7 +93,8 @@ _ORACLES: dict[str, str] = {
   f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND line_share <= {quality.LINE_LIMIT} AND {" AND ".join(f"share{n} <= {limit}" for n, limit in _LIMITS.items())} AS kept,
     line_share, greatest({", ".join(f"share{n}" for n in _LIMITS)}) AS ngram_share FROM f""",
-    "op9_count_tree_jaccard": rf"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+') if x <> ''] AS words FROM documents),
+    "op9_count_tree_jaccard": rf"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+') if x <> ''] AS words FROM documents),
   s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest({_SHINGLES}) AS sh FROM w)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
   shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
   link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
