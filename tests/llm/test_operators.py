@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -49,38 +50,80 @@ def ws(x):
     return re.findall(r"[^\x20\x09-\x0D]+", x or "")
 
 
-def test_lm(docs, none):
-    want = []
-    low = [(i, [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws(x)] + [None]) for i, x in rows()]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    c = Counter(w for i, x in low if not held(i) for w in x)
-    total, distinct = sum(c.values()), len(c)
-    for i, x in low:
-        want.append((i, held(i), len(x), sum(c[w] > 0 for w in x), total, round(sum(log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in x), 6)))
-    got = lm_scoring.score(docs).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(r.score < 0 for r in got) and lm_scoring.score(none).count() == 0
+def lm_parts():
+    """Words of every row, and whether it is held out."""
+    low = [(i, [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws(x)] + [""]) for i, x in rows()]
+    return [(i, x, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1) for i, x in low]
 
 
-def test_lm_rare_words_join_alike(docs, monkeypatch):
-    every = {(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(docs).collect()}
-    monkeypatch.setattr(lm_scoring, "WORDS", 3)
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 5)
-    few = {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm_scoring.score(docs).collect()}
-    assert few == {x[:3] for x in every}
+@pytest.mark.parametrize("most", [2_000_000, 5, 0])
+def test_lm(spark, docs, none, most):
+    parts = lm_parts()
+    training = [x for _, x, held in parts if not held]
+    c = Counter(w for x in training for w in x)
+    total, distinct = sum(c.values()), len(c)
+    # The model by brute force, from the classes of words alone.
+    held = docs.select((lm_scoring.remainder(docs["doc_id"]) == 1).alias("h"), "text").where("not h").select("text")
+    model = lm_scoring.train(held, most)
+    chosen = {r["word"]: r["class"] for r in model.words.collect()}
+    known = {int(h): int(k) for h, k in zip(model.first.hashes, model.first.classes, strict=True)}
+    key = lambda w: lm_scoring.hash_of(w.encode())
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    lump = lambda w: int(model.lump_class[lm_scoring.lump_of(w.encode())])
+    before, of = lambda w: known.get(key(w), lump(w)), lambda w: chosen.get(signed(key(w)), lump(w))
+    size, pairs, leaves, mass, types = len(model.table), Counter(), Counter(), Counter(), Counter(map(of, c))
+    for x in training:
+        for v, w in zip(["", *x], x, strict=False):
+            pairs[before(v), of(w)] += 1
+            leaves[before(v)] += 1
+            mass[of(w)] += 1
+    assert len(known) <= most
+
+    def score(x):
+        return sum(log10((pairs[before(v), of(w)] + 0.1) / (leaves[before(v)] + 0.1 * size)) + log10((c[w] + 0.5) / (mass[of(w)] + 0.5 * (types[of(w)] + 1))) for v, w in zip(["", *x], x, strict=False))
+
+    want = [(i, h, len(x), sum(c[w] > 0 for w in x), total, round(sum(log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in x), 6), round(score(x), 6), round(10 ** (-score(x) / len(x)), 3)) for i, x, h in parts]
+    got = lm_scoring.score(docs, most=most).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), round(r.perplexity, 3)) for r in got), key=repr) == sorted(want, key=repr)
+    assert most < 9 or lm_scoring.score(none).count() == 0
+
+
+def test_lm_flushes_count_alike(docs, monkeypatch):
+    every = by_row(lm_scoring.score(docs), "doc_id", "n_known", "base_score", "score")
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 10)
+    assert [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in by_row(lm_scoring.score(docs), "doc_id", "n_known", "base_score", "score")] == [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in every]
 
 
 def test_lm_words_choose_their_classes(spark):
-    # 300 words of each of two sorts that alternate, all with one ending: most stand beyond the coarse table.
+    # 300 words of each of two sorts that alternate, all with one ending, so that their lump says nothing.
     r = random.Random(1)
     sorts = [[f"{s}{k}xyz" for k in range(300)] for s in "ab"]
-    df = spark.createDataFrame([(" ".join(r.choice(sorts[k % 2]) for k in range(400)),) for _ in range(100)], "text string")
-    model = lm_scoring.train(df, lm_scoring.count_words(df))
-    one, two = (set(model.class_of[model.units.of([x.encode() for x in s])].tolist()) for s in sorts)
-    assert not one & two
-
-
-def test_exchange_raises_likelihood():
+    df = spark.createDataFrame([("start " + " ".join(r.choice(sorts[k % 2]) for k in range(400)),) for _ in range(100)], "text string")
+    words = {r["word"]: r["class"] for r in lm_scoring.train(df).words.collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    one, two = ({words[signed(lm_scoring.hash_of(x.encode()))] for x in s} for s in sorts)
+    assert len(one | two) > 1 and len(words) == 602
+
+
+def test_choices_against_brute_force():
+    r = np.random.default_rng(3)
+    rows = np.zeros(4000, lm_scoring._ROW)
+    rows["word"], rows["before"], rows["n"] = r.integers(0, 300, 4000), r.integers(0, 6, 4000), r.integers(1, 9, 4000)
+    rows["lump"] = 1 + rows["word"] % 20
+    lump_class, table = np.arange(512) % 6, r.integers(1, 500, (6, 6)).astype(float)
+    words, counts, classes, new = lm_scoring.choices(rows, lump_class, table, False)
+    log = np.log(table + 0.1) - np.log(table.sum(axis=0) + 0.6)
+    by_hand = np.zeros((6, 6))
+    for w, n, k in zip(words, counts, classes, strict=True):
+        mine = rows[rows["word"] == w]
+        worth = [sum(int(x["n"]) * log[x["before"], j] for x in mine) for j in range(6)]
+        assert n == mine["n"].sum() and np.isclose(worth[k], max(worth))
+        for x in mine:
+            by_hand[x["before"], k] += x["n"]
+    assert (new == by_hand).all()
+
+
+def test_exchange_leaves_no_better_move():
     r = np.random.default_rng(0)
     pairs = np.zeros((12, 12))
     for _ in range(3000):  # even units are followed by odd ones and the other way round
@@ -88,6 +131,14 @@ def test_exchange_raises_likelihood():
         pairs[a, r.integers(6) * 2 + (a % 2 == 0)] += 1
     of = lm_scoring.exchange(pairs, classes=2)
     assert len(set(of[::2])) == 1 and len(set(of[1::2])) == 1 and of[0] != of[1]
+    pairs = r.integers(0, 20, (15, 15)).astype(float)
+    table = lambda x: np.eye(4)[x].T @ pairs @ np.eye(4)[x]
+    of = lm_scoring.exchange(pairs, classes=4, sweeps=100)
+    for w in range(15):
+        for k in range(4):
+            other = of.copy()
+            other[w] = k
+            assert lm_scoring.likelihood(table(other)) <= lm_scoring.likelihood(table(of)) + 1e-6
 
 
 def library():
@@ -125,12 +176,46 @@ def test_local_search_empties_what_best_fit_leaves():
     for _ in range(30):
         lengths = [r.randint(1, 100) for _ in range(60)]
         start = packing.best_fit(lengths, 100)
-        end = packing.local_search(lengths, start, 100, 1.0)
+        end = packing.local_search(lengths, start, 100)
         assert sorted(i for b in end for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= 100 for b in end)
         fills = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
         assert len(end) <= len(start) and fills(end) >= fills(start)
     # Best fit leaves three bins, a swap makes two.
-    assert len(packing.local_search([6, 5, 4, 3, 2], [[0, 3], [1, 2], [4]], 10, 1.0)) == 2
+    assert len(packing.local_search([6, 5, 4, 3, 2], [[0, 3], [1, 2], [4]], 10)) == 2
+
+
+def fewest_bins(lengths, capacity):
+    """By dynamic programming over subsets: bins, and the least fill of the last of them."""
+    best = [(0, capacity)] + [(99, 0)] * ((1 << len(lengths)) - 1)
+    for done in range(1 << len(lengths)):
+        bins, fill = best[done]
+        for k, x in enumerate(lengths):
+            if not done >> k & 1:
+                best[done | 1 << k] = min(best[done | 1 << k], (bins, fill + x) if fill + x <= capacity else (bins + 1, x))
+    return best[-1][0]
+
+
+def test_local_search_against_the_optimum():
+    r = random.Random(5)
+    over = start = 0
+    for _ in range(150):
+        lengths = [r.randint(20, 55) for _ in range(11)]
+        least = fewest_bins(lengths, 100)
+        start += len(packing.best_fit(lengths, 100)) - least
+        end = packing.pack_lengths(lengths, 100)
+        assert least <= len(end) <= least + 1
+        over += len(end) - least
+    assert over <= start / 2 and over <= 15
+    # Many pieces of a bin, of which those that must move are neither long nor the two shortest.
+    lengths = [r.randint(50, 90) for _ in range(3000)]
+    before, after = len(packing.best_fit(lengths, 205)), len(packing.pack_lengths(lengths, 205))
+    assert after < before * 0.97
+
+
+def test_packing_keeps_the_name_of_the_id(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, None)], "key string, text string")
+    got = packing.pack_documents(df, "key").collect()
+    assert {(r.key, r.length) for r in got} == {("a", 3), (None, 1)}
 
 
 def test_warc(spark, tmp_path):
@@ -234,15 +319,59 @@ def test_toxicity(spark):
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0 and toxicity.score(docs.where("doc_id = -1"), empty).count() == 0
 
 
+def area_means(image, height, width):
+    """Each new sample from all samples that its area touches, by the share of them that it covers."""
+    h, w = image.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            for y in range(h):
+                for x in range(w):
+                    tall = max(0.0, min((i + 1) * h / height, y + 1) - max(i * h / height, y))
+                    wide = max(0.0, min((j + 1) * w / width, x + 1) - max(j * w / width, x))
+                    out[i, j] += image[y, x] * tall * wide
+    return out / (h * w / (height * width))
+
+
 def test_media(docs, none):
-    got = media.digests(media.media_column(docs)).collect()
+    got = media.digests(docs).collect()
     want = {}
     for i, x in rows():
         data = (x or "").encode()
-        want.setdefault(i, []).append((len(data), data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")))
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        pgm = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        feature = None
+        if len(image) < 20:
+            small, square = (np.floor(area_means(image, *shape) * k + (0.5 + 1e-6)) for shape, k in (((8, 9), 256), ((16, 16), 1)))
+            bits = "".join(str(int(small[a, b] < small[a, b + 1])) for a in range(8) for b in range(8))
+            out = io.BytesIO()
+            np.save(out, square.astype(np.uint8))
+            feature = f"{int(bits, 2):016x}:{hashlib.sha256(out.getvalue()).hexdigest()[:16]}"
+        want.setdefault(i, []).append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(pgm), hashlib.sha256(pgm).hexdigest(), feature))
     for r in got:
-        assert any((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for n, p in want[r.doc_id])
-    assert len(got) == len(rows()) and media.digests(media.media_column(none)).count() == 0
+        mine = (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256)
+        assert any(mine == x[:-1] and x[-1] in (None, r.feature) for x in want[r.doc_id])
+    assert len(got) == len(rows()) and media.digests(none).count() == 0
+
+
+def test_media_features(spark):
+    r = np.random.default_rng(1)
+    grey, rgb = r.integers(0, 256, (9, 30), np.uint8), r.integers(0, 256, (40, 21, 3), np.uint8)
+    rows_ = [(1, media.encode_pgm(grey)), (2, media.encode_bmp(rgb)), (3, None), (None, media.encode_pgm(grey)), (1, media.encode_pgm(grey))]
+    df = spark.createDataFrame([(i, x, 0, "t") for i, x in rows_], "doc_id bigint, media binary, width int, tile string")
+    got = media.features(df, size=4).collect()
+    assert len(got) == 5 and media.features(df.where("doc_id = 9")).count() == 0
+    for x in got:
+        if x.doc_id == 3:
+            assert x.width is None and x.tile is None and x.dhash is None
+            continue
+        image = rgb if x.doc_id == 2 else grey
+        tile = np.load(io.BytesIO(x.tile))
+        want = np.stack([area_means(image[:, :, k], 4, 4) for k in range(3)], axis=2) if image.ndim == 3 else area_means(image, 4, 4)
+        assert (x.height, x.width) == image.shape[:2] and x.payload_sha256 == hashlib.sha256(image.tobytes()).hexdigest() and np.abs(tile - want).max() <= 0.5 + 1e-9
+    for block in (1, 3, 7, 100):
+        assert np.allclose(media.resize(grey, 5, 7, block), area_means(grey, 5, 7))
 
 
 def test_images():
@@ -255,8 +384,6 @@ def test_images():
     big = np.kron(grey, np.ones((4, 3)))
     assert np.allclose(media.resize(big, 5, 7), grey) and np.isclose(media.resize(grey, 3, 4).mean(), grey.mean())
     assert media.difference_hash(np.tile(np.arange(90), (8, 1))) == "ff" * 8
-    import io
-
     assert np.load(io.BytesIO(media.tile(grey))).shape == (16, 16)
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
