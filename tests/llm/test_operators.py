@@ -56,7 +56,7 @@ def lm_parts():
     return [(i, x, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1) for i, x in low]
 
 
-@pytest.mark.parametrize("most", [2_000_000, 5, 0])
+@pytest.mark.parametrize("most", [300_000, 5, 0])
 def test_lm(spark, docs, none, most):
     parts = lm_parts()
     training = [x for _, x, held in parts if not held]
