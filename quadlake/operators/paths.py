@@ -15,10 +15,14 @@ MOST_ROUNDS = 40
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """df, computed and kept in the folder that spark.checkpoint.dir names; one of our own only where it is unset and
+    there is one machine."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadlake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quadlake-"))
     return df.checkpoint()
 
 
@@ -28,6 +32,12 @@ def has_zero_step(path: tuple) -> bool:
     return path[0] in ("star", "opt") or any(map(has_zero_step, path[1] if path[0] in ("seq", "alt") else (path[1],)))
 
 
+def is_transitive(path: tuple) -> bool:
+    if path[0] == "pred":
+        return False
+    return path[0] in ("star", "plus") or any(map(is_transitive, path[1] if path[0] in ("seq", "alt") else (path[1],)))
+
+
 def inverse(path: tuple) -> tuple:
     """The path walked backwards, inversion pushed down to predicates."""
     kind = path[0]
@@ -87,29 +97,47 @@ def pairs(source: GraphSource, path: tuple) -> DataFrame:
     raise ValueError("a zero-length step needs seeds")
 
 
-def follow(source: GraphSource, seeds: DataFrame, path: tuple) -> DataFrame:
+def reached(source: GraphSource, seeds: DataFrame, step: tuple) -> DataFrame:
+    """(root, o) of all walks of one step or more from seeds (root, at), a step at a time: only what was new in the last
+    round is walked on, and nothing that no seed leads to is read twice."""
+    seen, frontier = None, seeds
+    while True:
+        found = follow(source, frontier, step, True).select("root", "o").distinct()
+        if seen is not None:
+            known = seen.select(F.col("root").alias("_r"), F.col("o.kind").alias("_kind"), F.col("o.lex").alias("_lex"), F.col("o.dt").alias("_dt"), F.col("o.lang").alias("_lang"))
+            found = found.join(known, (F.col("root") == F.col("_r")) & (F.col("o.kind") == F.col("_kind")) & (F.col("o.lex") == F.col("_lex")) & F.col("o.dt").eqNullSafe(F.col("_dt")) & F.col("o.lang").eqNullSafe(F.col("_lang")), "left_anti")
+        found = checkpointed(found)
+        if found.isEmpty():
+            return found if seen is None else seen
+        seen = found if seen is None else seen.union(found)
+        frontier = found.where(F.col("o.kind") != LITERAL).select("root", F.col("o.lex").alias("at"))
+
+
+def follow(source: GraphSource, seeds: DataFrame, path: tuple, seeded: bool = False) -> DataFrame:
     """(root, o) of a path walked from seeds (root, at); a zero-length step yields the seed itself, in the graph or
-    not."""
+    not. seeded: seeds are few, so transitive steps start from them; else all pairs are made once by doubling."""
     kind = path[0]
-    if not has_zero_step(path):
+    if not has_zero_step(path) and not (seeded and is_transitive(path)):
         found = pairs(source, path)
         return seeds.join(found, seeds["at"] == found["s"]).select("root", "o")
     if kind == "inv":
-        return follow(source, seeds, inverse(path[1]))
+        return follow(source, seeds, inverse(path[1]), seeded)
     if kind == "seq":
-        out = follow(source, seeds, path[1][0])
+        out = follow(source, seeds, path[1][0], seeded)
         for step in path[1][1:]:
-            out = follow(source, out.where(F.col("o.kind") != LITERAL).select("root", F.col("o.lex").alias("at")).distinct(), step)
+            out = follow(source, out.where(F.col("o.kind") != LITERAL).select("root", F.col("o.lex").alias("at")).distinct(), step, seeded)
         return out.distinct()
     if kind == "alt":
-        out = follow(source, seeds, path[1][0])
+        out = follow(source, seeds, path[1][0], seeded)
         for other in path[1][1:]:
-            out = out.union(follow(source, seeds, other))
+            out = out.union(follow(source, seeds, other, seeded))
         return out.distinct()
-    itself = seeds.select("root", iri_term(F.col("at")).alias("o"))
     inner = path[1][1] if path[1][0] in ("star", "plus", "opt") else path[1]
+    if kind == "plus" and not has_zero_step(path[1]):
+        return reached(source, seeds, path[1])
+    itself = seeds.select("root", iri_term(F.col("at")).alias("o"))
     if kind == "opt" and path[1][0] not in ("star", "plus"):
-        return itself.union(follow(source, seeds, path[1])).distinct()
+        return itself.union(follow(source, seeds, path[1], seeded)).distinct()
     if has_zero_step(inner):
         raise ValueError("a transitive path over zero-length steps is not supported")
-    return itself.union(follow(source, seeds, ("plus", inner))).distinct()
+    return itself.union(follow(source, seeds, ("plus", inner), seeded)).distinct()

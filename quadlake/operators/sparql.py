@@ -13,14 +13,14 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import FUNCTIONS, Value, compare, pattern
+from ..functions.exprs import FUNCTIONS, Value, compare, math, pattern, replaced, total
 from ..sources.graphs import GraphSource
-from ..sources.terms import LITERAL, TERM, TYPE, XSD, Term, constant, iri, iri_term, literal, term
+from ..sources.terms import DECIMAL, LITERAL, TERM, TYPE, XSD, Term, constant, iri, iri_term, literal, term
 from ..sources.turtle import unescape
 from .paths import follow, has_zero_step, inverse, pairs
 
 _TOKEN = re.compile(
-    r'''(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<string>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<var>[?$]\w+)|(?P<tag>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)'''
+    r'''(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<string>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<var>[?$]\w+)|(?P<tag>@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?:--(?:ltr|rtl))?)'''
     r'''|(?P<number>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?)|(?P<name>(?:[A-Za-z][\w.-]*)?:[\w-]*|[A-Za-z_]\w*)|(?P<mark>\^\^|&&|\|\||!=|<=|>=|[][{}().;,=<>!+*/|^?-])''', re.S,
 )
 _AGGREGATES = ("COUNT", "SUM", "MIN", "MAX", "AVG", "SAMPLE", "GROUP_CONCAT")
@@ -372,8 +372,10 @@ _numbers = count()
 
 
 class Evaluator:
+    """`loose` holds the variables that may be unbound in a solution; only these take more than an equi-join."""
+
     def __init__(self, source: GraphSource):
-        self.source = source
+        self.source, self.loose = source, set()
 
     def _fresh(self) -> str:
         return f"_x{next(_numbers)}"
@@ -389,34 +391,71 @@ class Evaluator:
             elif x[0] == "bind":
                 solutions, value = self.value(solutions, x[1], carried)
                 solutions = solutions.withColumn(x[2], value.term)
+                self.loose.add(x[2])  # an error leaves it unbound
             elif x[0] == "values":
                 rows = self.source.spark.createDataFrame([tuple(None if t is None else (t.kind, t.lex, t.dt, t.lang) for t in r) for r in x[2]], ", ".join(f"`{n}` struct<kind:int,lex:string,dt:string,lang:string>" for n in x[1]))
                 rows = rows.select(*(F.when(F.col(n).isNotNull(), _retyped(F.col(n))).alias(n) for n in x[1]))
-                solutions = self._join(solutions, rows, "inner")
+                solutions = self._join(solutions, rows, {n for k, n in enumerate(x[1]) if any(r[k] is None for r in x[2])})
             elif x[0] == "group":
                 solutions = self.group(solutions, x[1], carried)
             elif x[0] == "union":
-                parts = [self.group(solutions, g, carried) for g in x[1]]
+                before, loose, parts = set(self.loose), set(), []
+                for g in x[1]:
+                    self.loose = set(before)
+                    parts.append(self.group(solutions, g, carried))
+                    loose |= self.loose
                 names = list(dict.fromkeys(n for p in parts for n in p.columns))
+                self.loose = loose | {n for n in names if any(n not in p.columns for p in parts)}
                 parts = [p.select(*(F.col(n) if n in p.columns else F.lit(None).cast(TERM).alias(n) for n in names)) for p in parts]
                 solutions = reduce(DataFrame.unionByName, parts)
             elif x[0] == "select":
-                solutions = self._join(solutions, self.subselect(x[1]), "inner")
+                outside, self.loose = self.loose, set()
+                found = self.subselect(x[1])
+                inside, self.loose = self.loose | {n for n, e in x[1]["items"] or () if e[0] != "var"}, outside
+                solutions = self._join(solutions, found, inside & set(found.columns))
         for e in filters:
             kept = solutions.columns
             solutions, value = self.value(solutions, e, carried)
             solutions = solutions.where(value.truth).select(*kept)
         return solutions
 
-    def _join(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    def _join(self, left: DataFrame, right: DataFrame, loose: set[str]) -> DataFrame:
+        """Solutions of both that agree where both are bound; `loose` of the right may be unbound. Rows are dealt by
+        which of the loose variables they bind, so that each share is an equi-join of what both have."""
         shared = [c for c in right.columns if c in left.columns]
-        if not shared:
-            return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(right, F.lit(True), how)
         named = right.select(*(F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in right.columns))
-        test = reduce(Column.__and__, (left[c].eqNullSafe(named[f"_r_{c}"]) for c in shared))
-        return left.join(named, test, how).drop(*(f"_r_{c}" for c in shared))
+        unsure = [c for c in shared if c in self.loose or c in loose]
+        shares = [(left, named, [c for c in shared if c not in unsure])]
+        for c in unsure:
+            here, there = c in self.loose, c in loose
+            split = []
+            for a, b, keys in shares:
+                has_a, has_b = F.col(f"`{c}`").isNotNull(), F.col(f"`_r_{c}`").isNotNull()
+                split.append((a.where(has_a) if here else a, b.where(has_b) if there else b, [*keys, c]))
+                if here:
+                    split.append((a.where(~has_a), b, keys))
+                if there:
+                    split.append((a.where(has_a) if here else a, b.where(~has_b), keys))
+            shares = split
+        out = []
+        for a, b, keys in shares:
+            # Without a variable in common it is the pattern itself that asks for all pairs; Spark broadcasts the smaller side by its size.
+            joined = a.join(b, reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) for c in keys))) if keys else a.crossJoin(b)
+            out.append(joined.select(*((F.coalesce(F.col(f"`{c}`"), F.col(f"`_r_{c}`")).alias(c) if c in unsure else F.col(f"`{c}`")) for c in left.columns), *(F.col(f"`{c}`") for c in right.columns if c not in shared)))
+        self.loose = (self.loose - (set(shared) - loose)) | {c for c in loose if c in self.loose or c not in shared}
+        return reduce(DataFrame.unionByName, out)
 
     def _triple(self, solutions: DataFrame, s: object, verb: object, o: object) -> DataFrame:
+        mine = sorted({x[1] for x in (s, verb, o) if isinstance(x, tuple) and x[0] == "var"})
+        unsure = [v for v in mine if v in solutions.columns and v in self.loose]
+        if unsure:
+            # Where a variable is unbound, the pattern binds it.
+            v = unsure[0]
+            self.loose.discard(v)
+            held = self._triple(solutions.where(F.col(f"`{v}`").isNotNull()), s, verb, o)
+            self.loose |= set(unsure[1:])
+            free = self._triple(solutions.where(F.col(f"`{v}`").isNull()).drop(v), s, verb, o)
+            return held.unionByName(free)
         bound = solutions.columns
         zero = verb[0] != "var" and has_zero_step(verb)
         if verb[0] == "var":
@@ -461,26 +500,38 @@ class Evaluator:
         return joined.select(*(solutions[c] for c in bound), *(v.alias(k) for k, v in new.items()))
 
     def _seeds(self, solutions: DataFrame, elements: object, carried: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+        """The variables that a group shares with the solutions, and their distinct values, each also under _k_<name>:
+        the group may bind what was unbound."""
         inside = variables(elements)
         shared = [c for c in solutions.columns if c in inside and c not in carried]
         if not shared:
             return [], self.source.spark.range(1).select(F.lit(True).alias("_unit"))
-        return shared, solutions.select(*shared).distinct()
+        return shared, solutions.select(*shared).distinct().select(*shared, *(F.col(f"`{c}`").alias(f"_k_{c}") for c in shared))
 
     def _optional(self, solutions: DataFrame, elements: tuple, carried: tuple[str, ...]) -> DataFrame:
+        before = set(self.loose)
         shared, seeds = self._seeds(solutions, elements, carried)
-        found = self.group(seeds, elements, ("_unit",)).drop("_unit")
-        return self._join(solutions, found, "left")
+        found = self.group(seeds, elements, ("_unit", *(f"_k_{c}" for c in shared))).drop("_unit")
+        self.loose = before | {c for c in found.columns if c not in solutions.columns and not c.startswith("_k_")}
+        if not shared:
+            return solutions.join(found, F.lit(True), "left")
+        found = found.select(*(F.col(f"`{c}`").alias(f"_r_{c}") if c in shared else F.col(f"`{c}`") for c in found.columns))
+        joined = solutions.join(found, reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"`_k_{c}`")) for c in shared)), "left")
+        return joined.select(*(F.coalesce(F.col(f"`{c}`"), F.col(f"`_r_{c}`")).alias(c) if c in shared and c in before else F.col(f"`{c}`") for c in solutions.columns), *(F.col(f"`{c}`") for c in found.columns if not c.startswith(("_k_", "_r_"))))
 
     def exists(self, solutions: DataFrame, elements: tuple, carried: tuple[str, ...], name: str) -> DataFrame:
         """A column: whether the group has a solution with this row's variables."""
+        before = set(self.loose)
         shared, seeds = self._seeds(solutions, elements, carried)
-        found = self.group(seeds, elements, ("_unit",))
+        found = self.group(seeds, elements, ("_unit", *(f"_k_{c}" for c in shared)))
+        self.loose = before
         if not shared:
+            # One row.
             there = found.limit(1).agg((F.count("*") > 0).alias(name))
             return solutions.crossJoin(F.broadcast(there))
-        marked = found.select(*shared).distinct().withColumn(name, F.lit(True))
-        return self._join(solutions, marked, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        marked = found.select(*(F.col(f"`_k_{c}`") for c in shared)).distinct().withColumn(name, F.lit(True))
+        joined = solutions.join(marked, reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"`_k_{c}`")) for c in shared)), "left")
+        return joined.select(*(F.col(f"`{c}`") for c in solutions.columns), F.coalesce(F.col(name), F.lit(False)).alias(name))
 
     def value(self, solutions: DataFrame, e: object, carried: tuple[str, ...] = ()) -> tuple[DataFrame, Value]:
         """An expression's value; existence tests in it become columns of the solutions first."""
@@ -507,6 +558,8 @@ class Evaluator:
                 return Value("str", F.lit(e.lex))
             if e.dt == XSD + "integer":
                 return Value("int", F.lit(int(e.lex)).cast("bigint"))
+            if e.dt == XSD + "decimal":
+                return Value("dec", F.lit(e.lex).try_cast(DECIMAL))
             if e.dt == XSD + "boolean":
                 return Value("bool", F.lit(e.lex in ("true", "1")))
             return Value("term", constant(e))
@@ -528,12 +581,7 @@ class Evaluator:
             left = go(e[1])
             return Value("bool", reduce(Column.__or__, (compare("=", left, go(x)) for x in e[2])) if e[2] else F.lit(False))
         if head == "math":
-            a, b = go(e[2]), go(e[3])
-            x, y = a.num, b.num
-            if e[1] == "/":
-                return Value("num", F.try_divide(x, y))
-            made = x + y if e[1] == "+" else x - y if e[1] == "-" else x * y
-            return Value("int", made.cast("bigint")) if a.kind == b.kind == "int" else Value("num", made)
+            return math(e[1], go(e[2]), go(e[3]))
         if head == "call":
             if e[1] in ("REGEX", "REPLACE"):
                 if not all(isinstance(x, Term) for x in e[2][1:]):
@@ -541,7 +589,7 @@ class Evaluator:
                 given = [x.lex for x in e[2][1:]]
                 if e[1] == "REGEX":
                     return Value("bool", go(e[2][0]).string.rlike(pattern(given[0], given[1] if len(given) > 1 else "")))
-                return Value("str", F.regexp_replace(go(e[2][0]).string, pattern(given[0], given[2] if len(given) > 2 else ""), given[1]))
+                return replaced(go(e[2][0]), pattern(given[0], given[2] if len(given) > 2 else ""), given[1])
             return FUNCTIONS[e[1]](*map(go, e[2]))
         raise SparqlError(f"{head} has no place here")
 
@@ -557,7 +605,7 @@ class Evaluator:
                 return node
             if node and node[0] == "aggregate":
                 found.append(node)
-                return ("column", "int" if node[1] == "COUNT" else "term" if node[1] in ("MIN", "MAX", "SAMPLE") else "str" if node[1] == "GROUP_CONCAT" else "num", f"_a{len(found) - 1}")
+                return ("column", "int" if node[1] == "COUNT" else "str" if node[1] == "GROUP_CONCAT" else "term", f"_a{len(found) - 1}")
             return tuple(map(aggregates, node))
 
         items = [(n, aggregates(e)) for n, e in items]
@@ -575,8 +623,7 @@ class Evaluator:
                 elif name == "GROUP_CONCAT":
                     made = F.array_join(F.array_sort((F.collect_set if distinct else F.collect_list)(value.text)), separator)
                 else:
-                    made = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg, ("AVG", True): lambda c: F.sum_distinct(c) / F.count_distinct(c)}[name, distinct](value.num)
-                    made = F.coalesce(made, F.lit(0.0))
+                    made = total(value, name == "AVG", distinct)
                 columns.append(made.alias(f"_a{k}"))
             rows = rows.groupBy(*query["by"]).agg(*columns) if columns else rows.select(*query["by"]).distinct()
         for e in having:

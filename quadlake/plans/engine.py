@@ -11,11 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.nodes import Nodes
-from ..operators.paths import follow, has_zero_step, pairs
+from ..operators.paths import follow, has_zero_step, is_transitive, pairs
 from ..sources.graphs import GraphSource, MappedSource
-from ..sources.terms import LITERAL, TEMPORAL, constant
+from ..sources.terms import DECIMAL, LITERAL, ORDERED, TEMPORAL, XSD, constant, order_key
 from .graphql import OperationError, Selected, parse_operation, sdl
-from .shapes import OPERATORS, Field, Registry, Shape, keeps_rows
+from .shapes import OPERATORS, Const, Field, Registry, Shape, keeps_rows
+
+
+#: Entities of a page whose keys are broadcast; larger pages join their fields by shuffle.
+PAGE_KEYS = 100_000
+#: Integers from here on are not told apart as doubles.
+EXACT = 1 << 53
+
+
+@dataclass(frozen=True)
+class Within:
+    """The entities (s) that fields are wanted of; small: there are PAGE_KEYS at most."""
+
+    keys: DataFrame
+    small: bool
+
+    def of(self, rows: DataFrame, column: str = "s") -> DataFrame:
+        keys = self.keys.select(F.col("s").alias("_within"))
+        return rows.join(F.broadcast(keys) if self.small else keys, F.col(column) == F.col("_within"), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -89,12 +107,15 @@ class Planner:
             if limit is not None:
                 base = base.limit(limit)
             narrowed = {}
-        return self.fields(shape, base, selected.selection, narrowed, promoted, {} if paged else where or {}).drop("s")
+        # What is listed is listed for the page's or the filter's entities alone.
+        within = Within(base.select("s"), limit is not None and limit <= PAGE_KEYS) if paged or self.normal(shape, where or {}) != ("true",) else None
+        return self.fields(shape, base, selected.selection, narrowed, promoted, {} if paged else where or {}, within).drop("s")
 
-    def entities(self, shape: Shape, names: set[str], keys: DataFrame | None, promoted: set[str]) -> tuple[DataFrame, set[str]]:
-        """s and a column for each of the named fields that one table row holds; the names of these."""
+    def entities(self, shape: Shape, names: set[str], keys: DataFrame | None, promoted: set[str], parent: str | None = None) -> tuple[DataFrame, set[str]]:
+        """s and a column for each of the named fields that one table row holds; the names of these. With `parent`, a
+        predicate of that row, also what it leads to: _parent."""
         if keys is None and shape.target_class and isinstance(self.source, MappedSource):
-            fused = self.source.row(shape.target_class, {n: f.path[1] for n in names if (f := shape.fields.get(n)) and f.derived is None and f.path[0] == "pred"}, {n for n in promoted if shape.fields[n].default is None})
+            fused = self.source.row(shape.target_class, {n: f.path[1] for n in names if (f := shape.fields.get(n)) and f.derived is None and f.path[0] == "pred"}, {n for n in promoted if shape.fields[n].default is None}, parent)
             if fused is not None:
                 base, covered = fused
                 for n in sorted(covered):
@@ -132,18 +153,20 @@ class Planner:
             o = F.coalesce(o, constant(f.default.terms[0]))
         return o
 
-    def values(self, shape: Shape, f: Field, base: DataFrame) -> DataFrame:
-        """(s, o) of a field: one row at most for each s if it is a scalar; with its default, one for each."""
+    def values(self, shape: Shape, f: Field, base: DataFrame, within: Within | None = None) -> DataFrame:
+        """(s, o) of a field: one row at most for each s if it is a scalar; with its default, one for each. Of the
+        entities within alone, if these are given."""
         seeds = base.select("s")
+        single = False
         if f.derived is not None:
             rows = self.nodes.values(seeds, f.derived)
-            single = False
-        elif has_zero_step(f.path):
-            rows = follow(self.source, seeds.select(F.col("s").alias("root"), F.col("s").alias("at")), f.path).select(F.col("root").alias("s"), "o")
-            single = False
+        elif has_zero_step(f.path) or within is not None and is_transitive(f.path):
+            rows = follow(self.source, seeds.select(F.col("s").alias("root"), F.col("s").alias("at")), f.path, within is not None).select(F.col("root").alias("s"), "o")
         else:
             rows = pairs(self.source, f.path)
             single = f.path[0] == "pred" and isinstance(self.source, MappedSource) and self.source.functional(f.path[1])
+        if within is not None:
+            rows = within.of(rows)
         if f.kind == "relationship":
             return rows.where(F.col("o.kind") != LITERAL)
         steps = self.steps(f)
@@ -155,7 +178,7 @@ class Planner:
                 rows = rows.groupBy("s").agg(F.min_by("o", best).alias("o"))
             if f.default is not None:
                 default = self.nodes.values(seeds, f.default).select("s", F.col("o").alias("_default"))
-                rows = default.join(rows.select("s", "o"), "s", "left").select("s", F.coalesce("o", "_default").alias("o"))
+                rows = default.join(rows.select("s", "o"), "s", "full_outer").select("s", F.coalesce("o", "_default").alias("o"))
         return rows.select("s", "o")
 
     # Filters.
@@ -213,11 +236,11 @@ class Planner:
                 out.add(key)
         return out
 
-    def filtered(self, shape: Shape, where: dict, wanted: set[str], keys: DataFrame | None) -> tuple[DataFrame, dict[str, DataFrame], set[str]]:
+    def filtered(self, shape: Shape, where: dict, wanted: set[str], keys: DataFrame | None, parent: str | None = None) -> tuple[DataFrame, dict[str, DataFrame], set[str]]:
         """The entities that a filter leaves (with the wanted fields that their own row holds); values of filtered
         fields in the rows that passed; the promoted fields."""
         tree, promoted = self.normal(shape, where), self.named(shape, where)
-        base, covered = self.entities(shape, wanted | promoted, keys, promoted)
+        base, covered = self.entities(shape, wanted | promoted, keys, promoted, parent)
         for n in sorted(promoted & covered):
             base = base.where(F.col(f"f_{n}").isNotNull())
         factors = list(tree[1]) if tree[0] == "and" else [] if tree == ("true",) else [tree]
@@ -236,25 +259,34 @@ class Planner:
             groups.append((names, tests))
         base = self._tested(shape, base, own)
         narrowed: dict[str, DataFrame] = {}
+        passed = []
         for names, tests in groups:
-            # Fields that no test ties together are filtered apart, so their values never multiply.
-            rows = base
-            for n in sorted(names):
-                f = shape.fields[n]
-                how = "left" if f.derived is not None and keeps_rows(f.derived) and f.default is None else "inner"
-                rows = rows.join(self.values(shape, f, base).select("s", F.col("o").alias(f"f_{n}")), "s", how)
-            rows = self._tested(shape, rows, tests)
+            # Fields that no test ties together are filtered apart, so their values never multiply; and from their own
+            # pairs, so that each is one scan, whatever the others are.
+            rows = self._tested(shape, self._together(shape, base, names, tests, covered), tests)
             for n in names:
                 narrowed[n] = rows.select("s", F.col(f"f_{n}").alias("o")).where("o is not null").distinct()
-            base = base.join(rows.select("s").distinct(), "s", "left_semi")
+            passed.append(rows.select(F.col("s").alias("_passed")))
+        for rows in passed:
+            base = base.join(rows, F.col("s") == F.col("_passed"), "left_semi")
         return base, narrowed, promoted
 
+    def _together(self, shape: Shape, base: DataFrame, names: set[str], tests: list[tuple], covered: set[str]) -> DataFrame:
+        """s and a column for each of the fields; with the entities' own columns where a test reads these, or where an
+        entity may lack a value."""
+        loose = {n for n in names if _loose(shape.fields[n])}
+        rows = base if loose or any(_fields(t) & covered for t in tests) else None
+        for n in sorted(names, key=lambda n: (n in loose, n)):
+            found = self.values(shape, shape.fields[n], base).select("s", F.col("o").alias(f"f_{n}"))
+            rows = found if rows is None else rows.join(found, "s", "left" if n in loose else "inner")
+        return rows
+
     def _tested(self, shape: Shape, rows: DataFrame, tests: list[tuple]) -> DataFrame:
         """The rows that pass; a test of a relationship alone is a semi-join, one under OR or NOT a marker."""
         kept = rows.columns
         for test in tests:
             if test[0] == "rel":
-                ok = self.children(shape.fields[test[1]], test[2])
+                ok = self.children(shape.fields[test[1]], test[2], rows.select(F.col(f"f_{test[1]}.lex").alias("s")))
                 if ok is not None:
                     rows = rows.join(ok.select(F.col("s").alias("_ok")), F.col(f"f_{test[1]}.lex") == F.col("_ok"), "left_semi")
                 continue
@@ -263,7 +295,7 @@ class Planner:
             def mark(t: tuple) -> None:
                 nonlocal rows
                 if t[0] == "rel":
-                    ok = self.children(shape.fields[t[1]], t[2])
+                    ok = self.children(shape.fields[t[1]], t[2], rows.select(F.col(f"f_{t[1]}.lex").alias("s")))
                     name = f"_m{len(marks)}"
                     if ok is None:
                         rows = rows.withColumn(name, F.lit(True))
@@ -280,7 +312,7 @@ class Planner:
             rows = rows.where(self._test(shape, test, marks)).select(*kept)
         return rows
 
-    def children(self, f: Field, where: dict) -> DataFrame | None:
+    def children(self, f: Field, where: dict, targets: DataFrame) -> DataFrame | None:
         """s, distinct: the targets of a relationship that a nested filter admits; None if it admits all."""
         target = self.registry.target_of(f)
         anchored = f.target_class is not None
@@ -292,7 +324,7 @@ class Planner:
         elif anchored:
             keys = None
         else:
-            keys = self.source.triples().select("s").distinct()
+            keys = targets.where("s is not null").distinct()
         base, _, _ = self.filtered(shape, where, set(), keys)
         return base.select("s").distinct()
 
@@ -306,7 +338,7 @@ class Planner:
             return F.col(marks[k][1])
         _, name, op, value = test
         if name is None:
-            return operate(op, F.col("s"), value)
+            return self._iri_test(shape, op, value)
         f, o = shape.fields[name], F.col(f"f_{name}")
         if f.kind == "enum":
             names = f.enum_names()
@@ -314,8 +346,16 @@ class Planner:
             return operate(op, o["lex"], [lookup(x) for x in value] if isinstance(value, list) else lookup(value))
         kind = f.filter_kind
         if kind in ("Int", "Float"):
-            to = lambda x: F.lit(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else _bad(x, f)
-            return operate(op, o["num"], [to(x) for x in value if x is not None] if isinstance(value, list) else to(value))
+            given = [x for x in value if x is not None] if isinstance(value, list) else [value]
+            for x in given:
+                if isinstance(x, bool) or not isinstance(x, (int, float)):
+                    _bad(x, f)
+            # Decimals and large integers compare by all their digits.
+            if f.datatypes and f.datatypes[0] == XSD + "decimal" or any(isinstance(x, int) and abs(x) >= EXACT for x in given):
+                number, to = o["lex"].try_cast(DECIMAL), lambda x: F.lit(str(x)).try_cast(DECIMAL)
+            else:
+                number, to = o["num"], lambda x: F.lit(float(x))
+            return operate(op, number, list(map(to, given)) if isinstance(value, list) else to(value))
         if kind == "Boolean":
             if not isinstance(value, bool):
                 _bad(value, f)
@@ -323,12 +363,25 @@ class Planner:
         if kind == "DateTime" and f.datatypes and f.datatypes[0] in TEMPORAL:
             to = lambda x: F.lit(str(x)).try_cast("timestamp")
             return operate(op, o["ts"], [to(x) for x in value if x is not None] if isinstance(value, list) else to(value))
+        if f.datatypes and f.datatypes[0] in ORDERED and op in ("eq", "neq", "gt", "gte", "lt", "lte", "in", "notIn"):
+            to = lambda x: order_key(F.lit(str(x)), F.lit(f.datatypes[0]))
+            return operate(op, order_key(o["lex"], o["dt"]), [to(x) for x in value if x is not None] if isinstance(value, list) else to(value))
         return operate(op, o["lex"], value)
 
+    def _iri_test(self, shape: Shape, op: str, value: object) -> Column:
+        """A test of an entity's IRI; IRIs of mapped rows are tested by the columns that they are made from, so that the
+        test reaches the scan."""
+        if op in ("eq", "in") and isinstance(self.source, MappedSource) and shape.target_class:
+            found = self.source.by_keys(shape.target_class, [x for x in value if x is not None] if op == "in" else [value])
+            if found is not None:
+                return found
+        return operate(op, F.col("s"), value)
+
     # Fields.
 
-    def fields(self, shape: Shape, base: DataFrame, selection: tuple[Selected, ...], narrowed: dict[str, DataFrame], promoted: set[str], where: dict) -> DataFrame:
-        """s and a column for each selection. A required or promoted field without a value drops its entity."""
+    def fields(self, shape: Shape, base: DataFrame, selection: tuple[Selected, ...], narrowed: dict[str, DataFrame], promoted: set[str], where: dict, within: Within | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+        """s, the carried columns and a column for each selection. A required or promoted field without a value drops
+        its entity."""
         covered = {c[2:] for c in base.columns if c.startswith("f_")}
         out, columns = base, []
         for k, sel in enumerate(selection):
@@ -347,7 +400,7 @@ class Planner:
             if sel.args:
                 raise OperationError(f"{sel.name} takes no arguments")
             bound = f.required or sel.name in promoted
-            loose = f.derived is not None and keeps_rows(f.derived) and f.default is None
+            loose = _loose(f)
             how = "inner" if bound and not loose else "left"
             if sel.name in covered and f.kind != "relationship":
                 value = self.output(shape, f, F.col(f"f_{sel.name}"))
@@ -356,11 +409,11 @@ class Planner:
                 columns.append((F.when(value.isNull(), F.array()).otherwise(F.array(value)) if f.listed else value).alias(sel.alias))
                 continue
             if f.kind == "relationship":
-                out = self.relationship(shape, f, sel, out, narrowed, how, name, covered, where)
+                out = self.relationship(shape, f, sel, out, narrowed, how, name, covered, where, within)
             else:
                 rows = narrowed.get(sel.name)
                 if rows is None:
-                    rows = self.values(shape, f, base)
+                    rows = self.values(shape, f, base, within)
                 value = self.output(shape, f, F.col("o"))
                 if f.listed:
                     rows = rows.groupBy("s").agg(F.array_sort(F.collect_set(value)).alias(name))
@@ -369,40 +422,63 @@ class Planner:
                 else:
                     rows = rows.select("s", value.alias(name))
                 out = out.join(rows, "s", how)
-            columns.append((F.coalesce(F.col(name), F.array()) if f.listed else F.col(name)).alias(sel.alias))
-        return out.select("s", *columns)
+            value = F.coalesce(F.col(name), F.array()) if f.listed else F.col(name)
+            if loose and f.required and not f.listed and self.engine.strict:
+                value = F.coalesce(value, F.raise_error(F.concat(F.lit(f"{shape.name}.{f.name} is required and has no value: "), F.col("s"))).cast(out.schema[name].dataType))
+            columns.append(value.alias(sel.alias))
+        return out.select("s", *carried, *columns)
 
-    def relationship(self, shape: Shape, f: Field, sel: Selected, out: DataFrame, narrowed: dict[str, DataFrame], how: str, name: str, covered: set[str], where: dict) -> DataFrame:
+    def relationship(self, shape: Shape, f: Field, sel: Selected, out: DataFrame, narrowed: dict[str, DataFrame], how: str, name: str, covered: set[str], where: dict, within: Within | None) -> DataFrame:
         target = self.registry.target_of(f)
         inner = self._conjunct(where, f.name)
         # Without paging, a nested relationship's filter also narrows the nested selection.
         nested = {k: v for k, v in inner.items() if k in target.fields and target.fields[k].kind == "relationship" and v and any(s.name == k for s in sel.selection)}
+        wanted = {s.name for s in sel.selection}
+        own = f.target_class is not None and target.target_class == f.target_class
+        if own and f.name not in covered and f.name not in narrowed and f.derived is None and f.path[0] == "inv" and f.path[1][0] == "pred" and isinstance(self.source, MappedSource) and self.source.holds(f.target_class, f.path[1][1]):
+            # The row of the child holds the link: no other rows are read for it.
+            base, inside, promoted = self.filtered(target, nested, wanted, None, f.path[1][1])
+            if within is not None:
+                base = within.of(base, "_parent")
+            child = self.fields(target, base, sel.selection, inside, promoted, nested, Within(base.select("s"), False) if within or nested else None, ("_parent",))
+            made = child.select("_parent", F.col("s").alias("_c"), F.struct(*(child[c] for c in child.columns if c not in ("s", "_parent"))).alias("_v"))
+            return self._listed(f, out, made.select(F.col("_parent").alias("s"), "_c", "_v"), how, name)
         links = None
         if f.name not in covered:
             links = narrowed.get(f.name)
             if links is None:
-                links = self.values(shape, f, out)
+                links = self.values(shape, f, out, within)
+            elif within is not None:
+                links = within.of(links)
             links = links.select("s", F.col("o.lex").alias("_child")).distinct()
-        wanted = {s.name for s in sel.selection}
+        targets = (out.select(F.col(f"f_{f.name}.lex").alias("s")).where("s is not null") if links is None else links.select(F.col("_child").alias("s"))).distinct()
         keys = None
-        if f.target_class is None or target.target_class != f.target_class:
-            keys = (out.select(F.col(f"f_{f.name}.lex").alias("s")).where("s is not null") if links is None else links.select(F.col("_child").alias("s"))).distinct()
-            if f.target_class is not None:
-                keys = keys.join(self.source.instances([f.target_class]), "s", "left_semi")
+        if not own:
+            keys = targets if f.target_class is None else targets.join(self.source.instances([f.target_class]), "s", "left_semi")
         base, inside, promoted = self.filtered(target, nested, wanted, keys)
-        child = self.fields(target, base, sel.selection, inside, promoted, nested)
+        below = None
+        if within is not None:
+            below = Within(targets, within.small and links is None)
+            base = below.of(base) if own else base
+        child = self.fields(target, base, sel.selection, inside, promoted, nested, below)
         # A child is whole before it joins: one that lacks a required field is no child.
         made = child.select(F.col("s").alias("_c"), F.struct(*(child[c] for c in child.columns if c != "s")).alias("_v"))
         if links is None:
             joined = out.join(made, F.col(f"f_{f.name}.lex") == F.col("_c"), how)
             value = F.when(F.col("_c").isNotNull(), F.array("_v")) if f.listed else F.col("_v")
             return joined.withColumn(name, value).drop("_c", "_v")
-        rows = links.join(made, F.col("_child") == F.col("_c"))
-        if f.listed:
-            rows = rows.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("_c", "_v"))), lambda x: x["_v"]).alias(name)) if _sortable(made) else rows.groupBy("s").agg(F.collect_list("_v").alias(name))
+        return self._listed(f, out, links.join(made, F.col("_child") == F.col("_c")).select("s", "_c", "_v"), how, name)
+
+    @staticmethod
+    def _listed(f: Field, out: DataFrame, rows: DataFrame, how: str, name: str) -> DataFrame:
+        """Children (_c, _v) of each s, in order of their IRIs, or the first."""
+        if not f.listed:
+            value = F.min_by("_v", "_c")
+        elif _sortable(rows):
+            value = F.transform(F.sort_array(F.collect_list(F.struct("_c", "_v"))), lambda x: x["_v"])
         else:
-            rows = rows.groupBy("s").agg(F.min_by("_v", "_c").alias(name))
-        return out.join(rows, "s", how)
+            value = F.collect_list("_v")
+        return out.join(rows.groupBy("s").agg(value.alias(name)), "s", how)
 
     @staticmethod
     def _conjunct(where: dict, name: str) -> dict:
@@ -421,12 +497,21 @@ class Planner:
             return F.when(o["lex"].isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit(f"no member of {shape.name}.{f.name}: "), o["lex"])).cast("string"))
         kind = f.output
         if kind == "Int":
-            return F.coalesce(o["lex"].try_cast("bigint"), o["num"].try_cast("bigint"))
+            # A mapped column fills num; a literal beyond 64 bits is an error, not a null.
+            found = F.coalesce(o["lex"].try_cast("bigint"), F.when(o["num"].between(-(2.0**63), 2.0**63), o["num"].try_cast("bigint")))
+            return F.when(found.isNull() & F.coalesce(o["lex"].rlike(r"^[+-]?[0-9]+$"), F.lit(False)), F.raise_error(F.concat(F.lit(f"{shape.name}.{f.name} has an integer beyond 64 bits: "), o["lex"])).cast("bigint")).otherwise(found)
         if kind == "Float":
             return o["num"]
         return F.when(o["lex"].isNotNull(), o["lex"].isin("true", "1")) if kind == "Boolean" else o["lex"]
 
 
+def _loose(f: Field) -> bool:
+    """Whether an entity without a value stays even where the field is required: in strict mode that is an error."""
+    if f.default is not None:
+        return not isinstance(f.default, Const)
+    return f.derived is not None and keeps_rows(f.derived)
+
+
 def _sortable(made: DataFrame) -> bool:
     return "map<" not in made.schema["_v"].dataType.simpleString()
 

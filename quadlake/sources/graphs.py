@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ class QuadSource(GraphSource):
     """quads: g, s, p, o. Without a scope, the default graph is the union of all graphs ("union") or the unnamed one
     ("unnamed"). Predicates are filters on p, which prune a table partitioned by it."""
 
-    def __init__(self, quads: DataFrame, default: str = "union", graphs: tuple[str, ...] | None = None):
-        self.quads, self.default, self.graphs, self.spark = quads, default, graphs, quads.sparkSession
+    def __init__(self, quads: DataFrame, default: str = "union", graphs: tuple[str, ...] | None = None, unique: bool = False):
+        """unique: no triple is in quads twice, not even in two graphs; then a merge of graphs needs no shuffle."""
+        self.quads, self.default, self.graphs, self.unique, self.spark = quads, default, graphs, unique, quads.sparkSession
         seen = quads
         if graphs is not None:
             seen = quads.where(F.col("g").isin(*graphs))
@@ -55,13 +57,18 @@ class QuadSource(GraphSource):
 
     def pairs(self, predicate: str) -> DataFrame:
         # A merge of graphs is a set.
-        return self.seen.where(F.col("p") == predicate).select("s", "o").distinct()
+        found = self.seen.where(F.col("p") == predicate).select("s", "o")
+        return found if self.unique else found.distinct()
 
     def triples(self) -> DataFrame:
-        return self.seen.distinct()
+        return self.seen if self.unique else self.seen.distinct()
 
     def scoped(self, graphs: tuple[str, ...]) -> QuadSource:
-        return QuadSource(self.quads, self.default, tuple(graphs))
+        return QuadSource(self.quads, self.default, tuple(graphs), self.unique)
+
+    def instances(self, classes: list[str]) -> DataFrame:
+        found = self.pairs(TYPE).where(F.col("o.lex").isin(*classes)).select("s")
+        return found if len(classes) == 1 else found.distinct()
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +141,8 @@ class MappedSource(GraphSource):
         self.more = QuadSource.of(spark, extra) if extra and extra.quads else None
 
     def scoped(self, graphs: tuple[str, ...]) -> MappedSource:
-        return MappedSource(self.spark, self.tables, [e for e in self.entities if e.graph in graphs], None, tuple(graphs))
+        extra = None if self.extra is None else Graph([q for q in self.extra.quads if q[0] in graphs])
+        return MappedSource(self.spark, self.tables, [e for e in self.entities if e.graph in graphs], extra, tuple(graphs))
 
     def functional(self, predicate: str) -> bool:
         """Whether a subject has one value of a predicate at most, by how it is mapped."""
@@ -144,23 +152,56 @@ class MappedSource(GraphSource):
     def _extra_has(self, predicate: str) -> bool:
         return self.extra is not None and any(p == predicate for _, _, p, _ in self.extra.quads)
 
-    def row(self, class_: str, predicates: dict[str, str], solid: set[str]) -> tuple[DataFrame, set[str]] | None:
-        """One scan for the entities of a class and those of their fields (name to predicate) that their row holds:
-        s, and f_<name>, null where there is no triple. Rows without a solid field are left out, so that a filter on it reaches the scan as
-        it is. None if the class is not one table's."""
+    def _holder(self, class_: str) -> Entity | None:
+        """The one entity whose rows are all instances of a class."""
         holders = [e for e in self.entities if class_ in e.classes]
         if len(holders) != 1 or any(e.class_column and class_.startswith(e.class_column[0]) for e in self.entities):
             return None
         if self.extra is not None and any(p == TYPE and o.lex == class_ for _, _, p, o in self.extra.quads):
             return None
-        e = holders[0]
+        return holders[0]
+
+    def holds(self, class_: str, predicate: str) -> bool:
+        """Whether a link is one of the rows of a class, and of them alone."""
+        e = self._holder(class_)
+        return e is not None and predicate in e.links and self.functional(predicate)
+
+    def by_keys(self, class_: str, iris: list[str]) -> Column | None:
+        """Whether a row of `row(class_)` is one of the IRIs, told by the columns that make its IRI."""
+        e = self._holder(class_)
+        if e is None:
+            return None
+        kinds = {f.name: f.dataType for f in self.tables[e.table].schema.fields}
+        tests = []
+        for text in iris:
+            parts = str(text).removeprefix(f"urn:{e.name}:").split(":", len(e.key) - 1)
+            if str(text).startswith(f"urn:{e.name}:") and len(parts) == len(e.key):
+                # The IRI is tested too: "01" is not what 1 is written as.
+                same = F.col("s") == text
+                for c, x in zip(e.key, parts, strict=True):
+                    same = (F.col(f"_key_{c}") == F.lit(x).try_cast(kinds[c])) & same
+                tests.append(same)
+        return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+    def row(self, class_: str, predicates: dict[str, str], solid: set[str], parent: str | None = None) -> tuple[DataFrame, set[str]] | None:
+        """One scan for the entities of a class and those of their fields (name to predicate) that their row holds:
+        s, _key_<column> of what it is made from, and f_<name>, null where there is no triple. Rows without a solid field are left out, so
+        that a filter on it reaches the scan as it is. With `parent`, a link of the row, _parent is what it leads to, and rows without one are
+        left out. None if the class is not one table's."""
+        e = self._holder(class_)
+        if e is None:
+            return None
         covered = {n for n, p in predicates.items() if (p in e.columns or p in e.links) and self.functional(p)}
         columns = [self._object(e, predicates[n], n in solid).alias(f"f_{n}") for n in sorted(covered)]
         rows = self.tables[e.table]
         for n in sorted(covered & solid):
             for c in e.links[predicates[n]][0] if predicates[n] in e.links else (e.columns[predicates[n]][0],):
                 rows = rows.where(F.col(c).isNotNull())
-        return rows.select(subject(e.name, e.key).alias("s"), *columns), covered
+        if parent is not None:
+            for c in e.links[parent][0]:
+                rows = rows.where(F.col(c).isNotNull())
+            columns.append(subject(e.links[parent][1], e.links[parent][0]).alias("_parent"))
+        return rows.select(subject(e.name, e.key).alias("s"), *(F.col(c).alias(f"_key_{c}") for c in e.key), *columns), covered
 
     def _object(self, e: Entity, predicate: str, solid: bool = False) -> Column:
         none = F.lit(None)
@@ -240,6 +281,3 @@ def lexical(value: Column, dt: str) -> Column:
     if dt == XSD + "dateTime":
         return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
     return value.cast("string")
-
-
-

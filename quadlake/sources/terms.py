@@ -21,6 +21,9 @@ INTEGERS = tuple(XSD + x for x in "integer int short byte long unsignedInt unsig
 NUMERIC = (*INTEGERS, XSD + "decimal", XSD + "float", XSD + "double")
 TEMPORAL = (XSD + "date", XSD + "dateTime", XSD + "dateTimeStamp")
 LANGUAGE = (RDF + "langString", RDF + "dirLangString")
+ORDERED = tuple(XSD + x for x in ("time", "duration", "dayTimeDuration", "yearMonthDuration", "gYear", "gYearMonth", "gMonth", "gMonthDay", "gDay"))
+#: Exact numbers, as far as Spark has them.
+DECIMAL = "decimal(38,18)"
 
 
 class Term(NamedTuple):
@@ -48,7 +51,8 @@ def literal(value: object, dt: str | None = None, lang: str | None = None) -> Te
         return Term(LITERAL, str(value), dt or XSD + "integer")
     if isinstance(value, float):
         return Term(LITERAL, repr(value), dt or XSD + "double")
-    return Term(LITERAL, str(value), (RDF + "langString") if lang else dt or XSD + "string", lang.lower() if lang else None)
+    # A base direction stands behind the tag, as it is written.
+    return Term(LITERAL, str(value), LANGUAGE["--" in lang] if lang else dt or XSD + "string", lang.lower() if lang else None)
 
 
 #: `num` and `ts` are the literal's value where its type has one. A mapped column fills them as it is, so that a filter
@@ -76,3 +80,31 @@ def plain_term(lex: Column, dt: str) -> Column:
 def constant(value: Term) -> Column:
     text = lambda x: F.lit(x).cast("string")
     return term(F.lit(value.kind), text(value.lex), text(value.dt), text(value.lang))
+
+
+_DURATION = r"^(-?)P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+_CLOCK = r"^(\d\d):(\d\d):(\d\d(?:\.\d+)?)(?:Z|([+-])(\d\d):(\d\d))?$"
+_CALENDAR = r"^(-?\d{4,})?(?:-{1,2}(\d\d))?(?:-{1,3}(\d\d))?(?:Z|[+-]\d\d:\d\d)?$"
+#: Seconds of a mean month: durations that mix months and days compare by it.
+MONTH_SECONDS = 2629746.0
+
+
+def order_key(lex: Column, dt: Column) -> Column:
+    """What literals of the types in ORDERED compare by: seconds of a duration or a time of day (in UTC), months of a
+    duration of these, months or days of a calendar part. Null if the literal is none of its type."""
+
+    def part(pattern: str, k: int) -> Column:
+        return F.coalesce(F.regexp_extract(lex, pattern, k).try_cast("double"), F.lit(0.0))
+
+    sign = F.when(lex.startswith("-"), -1.0).otherwise(1.0)
+    months = part(_DURATION, 2) * 12 + part(_DURATION, 3)
+    seconds = part(_DURATION, 4) * 86400 + part(_DURATION, 5) * 3600 + part(_DURATION, 6) * 60 + part(_DURATION, 7)
+    shift = F.when(F.regexp_extract(lex, _CLOCK, 4) == "-", -1.0).otherwise(1.0) * (part(_CLOCK, 5) * 3600 + part(_CLOCK, 6) * 60)
+    clock = part(_CLOCK, 1) * 3600 + part(_CLOCK, 2) * 60 + part(_CLOCK, 3) - shift
+    calendar = part(_CALENDAR, 1) * 10000 + part(_CALENDAR, 2) * 100 + part(_CALENDAR, 3)
+    is_duration = lex.rlike(_DURATION) & lex.rlike(r"\d") & ~lex.endswith("T")
+    return (
+        F.when(dt.isin(*(XSD + x for x in ("duration", "dayTimeDuration", "yearMonthDuration"))), F.when(is_duration, sign * (months * MONTH_SECONDS + seconds)))
+        .when(dt == XSD + "time", F.when(lex.rlike(_CLOCK), clock))
+        .when(dt.isin(*(XSD + x for x in ("gYear", "gYearMonth", "gMonth", "gMonthDay", "gDay"))), F.when(lex.rlike(_CALENDAR) & lex.rlike(r"\d"), calendar))
+    )
