@@ -1,7 +1,8 @@
 """A convolutional text classifier in numpy.
 
-A word's embedding is the sum of hashed embeddings of the word, its first four letters and its last three. Filters
-of several widths slide over the words, each keeps its maximum over the text, and a linear layer gives the logit.
+A word's embedding is the sum of hashed embeddings of the word, its first four bytes and its last three. Filters
+of several widths slide over the words, each keeps its maximum over the text, and a linear layer over their tanh gives
+the logit. All starts at random; while it trains, a soft maximum hardens, so that at first every word learns.
 Thresholds are calibrated by language on a part of the training rows that training leaves out. The language is
 guessed from the text's own common words, so that a score depends on nothing but the text.
 """
@@ -22,11 +23,13 @@ from .common import slices, texts
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 #: Labelled rows of each label that training takes at most, the ones of least hash; the bound of its sample.
 SAMPLE = 4000
-#: UTF-8 bytes of a training row at most; with SAMPLE it bounds what crosses to the driver. Longer rows are scored, not learned from.
+#: UTF-8 bytes of a training row at most; with SAMPLE it bounds what crosses to the driver (260 MB). Longer rows are scored, not learned from.
 SAMPLE_BYTES = 1 << 15
-EPOCHS, RATE, BATCH = 6, 0.03, 32
+RATE, BATCH = 0.03, 32
+#: Each epoch's heat: the pool over a text is the logarithm of the mean exponential at that heat; in the last ones, its maximum.
+HEATS = (2.0, 4.0, 8.0, 16.0, None, None, None, None)
 THRESHOLD = 0.7
-#: Common words by which the language of a text is guessed.
+#: Common words by which the language of a text is guessed.
 COMMON = {
     "en": "the of and to in is that it for was with this by are from",
     "fr": "le la les des et un une que est dans pour avec sur pas du",
@@ -69,42 +72,41 @@ class Vocabulary:
 @dataclass
 class Model:
     embedding: np.ndarray
+    #: By width: a matrix for each place in the window.
     filters: list[np.ndarray]
     bias: np.ndarray
     weight: np.ndarray
-    offset: float
+    offset: np.ndarray
     #: Logit by language at which a text counts as toxic; scores put it at THRESHOLD.
     cut: np.ndarray
 
-    def pooled(self, features: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The largest response of each filter in each text (0 at least; of an empty text those of an unknown word), and the place where it stands."""
-        total, n = len(ids), len(count)
-        starts = np.cumsum(count) - count
-        doc = np.repeat(np.arange(n), count)
-        out, places = np.tile(np.maximum(self.bias.ravel(), 0), (n, 1)), np.full((n, len(WIDTHS) * FILTERS), -1, np.int64)
-        if not total:
-            return out, places
-        words = self.embedding[features].sum(axis=1)
-        for k, width in enumerate(WIDTHS):
-            parts = [(words @ f)[ids] for f in self.filters[k]]
-            response = parts[0] + self.bias[k]
-            for j in range(1, width):
-                inside = np.flatnonzero(doc[: total - j] == doc[j:])
-                response[inside] += parts[j][inside + j]
-            some = np.flatnonzero(count)
-            best = np.maximum.reduceat(response, starts[some], axis=0)
-            out[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum(best, 0)
-            if self.training:
-                for i, d in enumerate(some):
-                    places[d, k * FILTERS : (k + 1) * FILTERS] = np.where(best[i] > 0, starts[d] + response[starts[d] : starts[d] + count[d]].argmax(axis=0), -1)
-        return out, places
-
-    training: bool = False
+    def parameters(self) -> list[np.ndarray]:
+        return [self.embedding, *self.filters, self.bias, self.weight, self.offset]
+
+    def responses(self, words: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+        """Of each width: what its filters give at each place; words after the end of a text are zeros."""
+        out = []
+        for k, filters in enumerate(self.filters):
+            response = (words @ filters[0])[ids] + self.bias[k]
+            for j in range(1, len(filters)):
+                inside = np.flatnonzero(doc[: len(doc) - j] == doc[j:])
+                response[inside] += (words @ filters[j])[ids[inside + j]]
+            out.append(response)
+        return out
+
+    def pooled(self, features: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The largest response of each filter in each text; of an empty text those to zeros."""
+        out = np.tile(self.bias.ravel(), (len(count), 1))
+        some = np.flatnonzero(count)
+        if len(some):
+            words, doc = self.embedding[features].sum(axis=1), np.repeat(np.arange(len(count)), count)
+            for k, response in enumerate(self.responses(words, ids, doc)):
+                out[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(response, (np.cumsum(count) - count)[some], axis=0)
+        return out
 
     def logits(self, data: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         features, ids, count, language = vocabulary.read(data)
-        pooled, _ = self.pooled(features, ids, count)
-        return pooled @ self.weight + self.offset, language
+        return np.tanh(self.pooled(features, ids, count)) @ self.weight + self.offset[0], language
 
     def scores(self, data: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         """0 to 1; THRESHOLD at the cut of the text's language."""
@@ -112,81 +114,87 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit - self.cut[language] + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
-def train(data: list[bytes], labels: list[int], seed: int = 7) -> Model:
-    """Fits the filters by AdaGrad on four fifths of the rows; the rest calibrates the cuts. Rows of one label only
-    (or none) give a model that scores all alike, below the threshold."""
+def start(rng: np.random.Generator, widths: tuple[int, ...] = WIDTHS) -> Model:
+    """A model of random parameters, no feature or filter before another."""
+    normal = lambda size, *shape: rng.normal(0, size, shape).astype(np.float32)
+    return Model(normal(0.1, BUCKETS, DIM), [normal(0.3, w, DIM, FILTERS) for w in widths], np.zeros((len(widths), FILTERS), np.float32), normal(0.3, len(widths) * FILTERS), np.zeros(1, np.float32), np.full(len(LANGUAGES), 1.0))
+
+
+def gradients(model: Model, features: np.ndarray, ids: np.ndarray, count: np.ndarray, y: np.ndarray, weights: np.ndarray, heat: float | None) -> tuple[float, np.ndarray, list[np.ndarray]]:
+    """The weighted logistic loss of texts, the features that they hold, and the loss's gradients by these and by the
+    other parameters. A filter's pool over a text is the logarithm of its mean exponential at `heat`, so that all places
+    learn; without heat its maximum."""
+    n, doc = len(count), np.repeat(np.arange(len(count)), count)
+    some, starts = np.flatnonzero(count), (np.cumsum(count) - count)[count > 0]
+    words = model.embedding[features].sum(axis=1)
+    pool, shares = np.tile(model.bias.ravel(), (n, 1)), []
+    for k, response in enumerate(model.responses(words, ids, doc) if len(ids) else ()):
+        part = slice(k * FILTERS, (k + 1) * FILTERS)
+        most = np.zeros((n, FILTERS), response.dtype)
+        most[some] = np.maximum.reduceat(response, starts, axis=0)
+        share = np.exp(heat * (response - most[doc])) if heat else (response == most[doc]).astype(response.dtype)
+        total = np.ones((n, FILTERS), response.dtype)
+        total[some] = np.add.reduceat(share, starts, axis=0)
+        share /= total[doc]
+        pool[some, part] = most[some] + (np.log(total[some] / count[some, None]) / heat if heat else 0)
+        shares.append(share)
+    bent = np.tanh(pool)
+    logit = bent @ model.weight + model.offset[0]
+    chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    loss = float((weights * np.where(y > 0, -np.log(chance + 1e-12), -np.log(1 - chance + 1e-12))).sum())
+    error = ((chance - y) * weights).astype(np.float32)
+    g_pool = error[:, None] * model.weight * (1 - bent**2)
+    g_words, g_filters, g_bias = np.zeros_like(words), [np.zeros_like(f) for f in model.filters], g_pool.sum(axis=0).reshape(model.bias.shape)
+    if len(ids):
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+        at = ids[order][firsts]
+        for k, share in enumerate(shares):
+            g = share * g_pool[doc, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(len(model.filters[k])):
+                moved = g
+                if j:
+                    moved = np.zeros_like(g)
+                    inside = np.flatnonzero(doc[: len(doc) - j] == doc[j:])
+                    moved[inside + j] = g[inside]
+                by_word = np.add.reduceat(moved[order], firsts, axis=0)
+                g_filters[k][j] = words[at].T @ by_word
+                g_words[at] += by_word @ model.filters[k][j].T
+    held, inverse = np.unique(features.ravel(), return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    firsts = np.flatnonzero(np.concatenate([[True], inverse[order][1:] != inverse[order][:-1]])) if len(held) else np.zeros(0, np.int64)
+    g_embedding = np.add.reduceat(np.repeat(g_words, features.shape[1], axis=0)[order], firsts, axis=0) if len(held) else np.zeros((0, DIM), np.float32)
+    return loss, held, [g_embedding, *g_filters, g_bias, bent.T @ error, error.sum(keepdims=True)]
+
+
+def train(data: list[bytes], labels: list[int], seed: int = 7, widths: tuple[int, ...] = WIDTHS) -> Model:
+    """Fits a model of random parameters by Adam on four fifths of the rows, the pool over a text growing from a mean to
+    the maximum; the rest calibrates the cuts. Rows of one label only (or none) give a model that scores all alike, below
+    the threshold."""
     rng = np.random.default_rng(seed)
-    width = len(WIDTHS) * FILTERS
-    model = Model(
-        rng.normal(0, 0.005, (BUCKETS, DIM)).astype(np.float32), [[rng.normal(0, 0.3, (DIM, FILTERS)).astype(np.float32) for _ in range(w)] for w in WIDTHS],
-        np.full((len(WIDTHS), FILTERS), 0.05, np.float32), rng.normal(0, 0.3, width).astype(np.float32), 0.0, np.full(len(LANGUAGES), 1.0), training=True,
-    )
+    model, vocabulary = start(rng, widths), Vocabulary()
     y = np.array(labels, np.float32)
     order = rng.permutation(len(data))
     held, fit = order[: len(data) // 5], order[len(data) // 5 :]
-    vocabulary = Vocabulary()
     if not 0 < y[fit].sum() < len(fit):
-        model.weight[:], model.offset, model.training = 0, -2.0, False
+        model.weight[:], model.offset[:] = 0, -2.0
         return model
-    weights = np.where(y > 0, 0.5 / max(y[fit].mean(), 1e-6), 0.5 / max(1 - y[fit].mean(), 1e-6))
-    held_squares = [np.full_like(x, 1e-6) for x in (model.embedding, model.bias, model.weight)]
-    held_filters = [[np.full_like(f, 1e-6) for f in fs] for fs in model.filters]
-    held_offset = 1e-6
+    weights = np.where(y > 0, 0.5 / max(y[fit].mean(), 1e-6), 0.5 / max(1 - y[fit].mean(), 1e-6)) / BATCH
     batches = []
     for at in range(0, len(fit), BATCH):
         rows = fit[at : at + BATCH]
         batches.append((*vocabulary.read([data[i] for i in rows])[:3], rows))
-    # One coordinate begins as the surplus of toxic texts among those that hold a feature, in standard deviations, and
-    # one filter reads it: what few rows show is then found before noise is.
-    present = np.zeros((2, BUCKETS))
-    for features, ids, count, rows in batches:
-        held_by = np.unique(np.repeat(np.arange(len(rows)), count)[:, None] * BUCKETS + features[ids].reshape(-1, 3))
-        for k in (0, 1):
-            present[k] += np.bincount(held_by % BUCKETS, weights=y[rows][held_by // BUCKETS] == k, minlength=BUCKETS)
-    expected = present.sum(axis=0) * y[fit].mean()
-    model.embedding[:, 0] = np.clip((present[1] - expected) / np.sqrt(expected + 1), -2, 6) / 3
-    model.filters[0][0][:, 0] = 0
-    model.filters[0][0][0, 0], model.bias[0, 0], model.weight[0], model.offset = 1, 0, 2, -3
-    for _ in range(EPOCHS):
+    first, second, steps = [np.zeros_like(p) for p in model.parameters()], [np.zeros_like(p) for p in model.parameters()], 0
+    for heat in HEATS:
         for b in rng.permutation(len(batches)):
             features, ids, count, rows = batches[b]
-            pooled, places = model.pooled(features, ids, count)
-            logit = pooled @ model.weight + model.offset
-            error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) * weights[rows] / len(rows)).astype(np.float32)
-            g_weight = pooled.T @ error + 1e-4 * model.weight
-            g_pooled = error[:, None] * model.weight
-            ends = np.cumsum(count)
-            words = model.embedding[features].sum(axis=1)
-            g_words: dict[int, np.ndarray] = {}
-            for k, w in enumerate(WIDTHS):
-                part = slice(k * FILTERS, (k + 1) * FILTERS)
-                d, f = np.nonzero(places[:, part] >= 0)
-                place, g = places[:, part][d, f], g_pooled[:, part][d, f]
-                g_bias = np.bincount(f, weights=g, minlength=FILTERS).astype(np.float32)
-                held_squares[1][k] += g_bias**2
-                model.bias[k] -= RATE * g_bias / np.sqrt(held_squares[1][k])
-                for j in range(w):
-                    ok = place + j < ends[d]
-                    who = ids[place[ok] + j]
-                    g_filter = np.zeros((FILTERS, DIM), np.float32)
-                    np.add.at(g_filter, f[ok], g[ok, None] * words[who])
-                    for x, direction in zip(who, g[ok, None] * model.filters[k][j].T[f[ok]], strict=True):
-                        g_words[x] = g_words.get(x, 0) + direction
-                    held_filters[k][j] += g_filter.T**2
-                    model.filters[k][j] -= RATE * g_filter.T / np.sqrt(held_filters[k][j])
-            who = np.array(list(g_words), np.int64)
-            if len(who):
-                direction = np.repeat(np.array(list(g_words.values()), np.float32), 3, axis=0)
-                at, inverse = np.unique(features[who].ravel(), return_inverse=True)
-                total = np.zeros((len(at), DIM), np.float32)
-                np.add.at(total, inverse, direction)
-                held_squares[0][at] += total**2
-                model.embedding[at] -= RATE * total / np.sqrt(held_squares[0][at])
-            held_squares[2] += g_weight**2
-            model.weight -= RATE * g_weight / np.sqrt(held_squares[2])
-            held_offset += float(error.sum()) ** 2
-            model.offset -= RATE * float(error.sum()) / held_offset**0.5
-    model.training = False
+            steps += 1
+            _, at, found = gradients(model, features, ids, count, y[rows], weights[rows], heat)
+            for k, (p, g) in enumerate(zip(model.parameters(), found, strict=True)):
+                here = at if k == 0 else slice(None)
+                first[k][here] += (1 - 0.9) * (g - first[k][here])
+                second[k][here] += (1 - 0.99) * (g * g - second[k][here])
+                p[here] -= RATE * (first[k][here] / (1 - 0.9**steps)) / (np.sqrt(second[k][here] / (1 - 0.99**steps)) + 1e-6)
     _calibrate(model, [data[i] for i in held], y[held], vocabulary)
     return model
 
@@ -220,15 +228,16 @@ def held_out(id_col) -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Trains on at most `sample` labelled rows of each label that are not held out, those of them whose texts have
-    `sample_bytes` at most. Only these cross to the driver."""
+    """Trains on at most `sample` labelled rows of each label that are not held out, those of least hash among the ones
+    whose texts have `sample_bytes` at most. Only these cross to the driver: 2 * sample * sample_bytes bytes at the
+    utmost. Of repeated rows of an id, and of its labels, the greatest counts; null ids and labels are not learned from."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
+    known = known.join(rows.select("id"), "id", "left_semi")
     # The bound makes this side fit to broadcast: two times `sample` ids.
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (1, 0)]
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
-    # Repeated rows of an id, and very long texts, would break the bound: one row of each id.
-    found = rows.where(F.octet_length("text") <= sample_bytes).groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text")).select("id", "label", "text").orderBy("id").toArrow()
+    found = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "id").groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text")).select("id", "label", "text").orderBy("id").toArrow()
     return train([x.encode() for x in found.column("text").to_pylist()], found.column("label").to_pylist())
 
 
@@ -249,7 +258,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score under the threshold, all columns as they were."""
+    """The rows of docs that score under the threshold, all columns as they were. Null and empty texts score as texts
+    without words; null ids and repeated rows stay as they are; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
