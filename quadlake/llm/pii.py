@@ -6,7 +6,8 @@ digits, the same last seven, the same name before the @) are joined to a hub of
 are. So a repeated token costs one edge and not one for each pair, and any two of them are as near as two alone
 would be. Loopy message passing, until no message changes, then carries labels from evidence to look-alikes. The
 method adds a look-alike only if a hub reaches it, or it passes a pattern's checks by itself as a part of a run
-that failed them, and if its label is nearly certain.
+that failed them, and if its label is nearly certain. All weights are learned from counts over all texts: those of a
+span's looks (whether it passes checks is one of them), of neighbours, and of repeats.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 CERTAIN, NEAR = 0.75, 60
+#: What is added to the counts of label pairs of repeats, and of equal ones, before any are seen; the chance that a look-alike is personal data
+#: when learning starts, how often that is learned anew, and the steps each time.
+PRIOR, SAME, UNSURE, TURNS, STEPS = 0.2, 20.0, 0.3, 4, 500
 #: Messages of a text are done when none changes by more. One that swings on is damped more after each PATIENCE rounds,
 #: until a step is less than LEAST_STEP; its last messages hold then.
 TOLERANCE, PATIENCE, LEAST_STEP = 1e-4, 200, 1 / 256
@@ -116,19 +120,19 @@ def look_alikes(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 
 def shape(span: str) -> tuple[int, ...]:
-    """Features of a span's looks; none checks what the patterns check."""
+    """Features of a span's looks; the last two say whether it passes the checks of a card or of a phone number."""
     digits = sum(map(len, _DIGITS.findall(span)))
-    dots = span.count(".")
+    dots, passes = span.count("."), whole(span)
     return (
         1, "@" in span, span[0] == "+", digits == 0, 0 < digits < 7, 7 <= digits < 9, 9 <= digits < 13, 13 <= digits < 20, digits >= 20,
-        dots == 0, 0 < dots < 3, dots == 3, "(" in span, "-" in span, " " in span, any(map(str.isalpha, span)),
+        dots == 0, 0 < dots < 3, dots == 3, "(" in span, "-" in span, " " in span, any(map(str.isalpha, span)), passes == 3, passes == 4,
     )
 
 
 def whole(span: str) -> int:
-    """The label of a part that passes a pattern's checks by itself, though the run that holds it failed; else 0."""
+    """The label of a span that passes a pattern's checks by itself; else 0."""
     digits = "".join(_DIGITS.findall(span))
-    if span.isdigit() and 13 <= len(digits) <= 19 and luhn(digits):
+    if 13 <= len(digits) <= 19 and _CARD.fullmatch(span) and luhn(digits):
         return 3
     return 4 if 9 <= len(digits) <= 15 and _PHONE.fullmatch(span) else 0
 
@@ -167,11 +171,13 @@ def fit(samples: list[str]) -> Potentials:
 
 
 def estimate(counts: dict[tuple[int, int, int], int]) -> Potentials:
-    """Piecewise: unary weights by logistic regression of base labels (look-alikes are a mixture that is mostly no
-    personal data) on shapes; pair potentials by smoothed counts of labels across each kind of edge."""
+    """Piecewise: unary weights by logistic regression of labels on shapes. The label of a look-alike is hidden: it counts
+    as UNSURE personal data of any kind at first, then as what the weights of the turn before say. Pair potentials by the
+    counts of labels across each kind of edge; to those of repeats PRIOR is added, and SAME where labels agree: what the
+    method holds of repeats before it sees any."""
     n = len(KINDS) + 1
     seen: Counter = Counter()
-    chain, skip = np.full((n, n), 1.0), np.full((n, n), 0.2) + np.eye(n) * 20
+    chain, skip = np.full((n, n), 1.0), np.full((n, n), PRIOR) + np.eye(n) * SAME
     for (what, i, j), times in sorted(counts.items()):
         if what == SEEN:
             seen[tuple(i >> k & 1 for k in range(len(shape("0")))), j] = times
@@ -179,6 +185,7 @@ def estimate(counts: dict[tuple[int, int, int], int]) -> Potentials:
             chain[i, j] += times
             chain[j, i] += times
         elif i and j:
+            # Labels of repeats are known where patterns found both; what a look-alike is, evidence shall tell.
             skip[i, j] += times
             skip[j, i] += times
     unary = np.zeros((len(shape("0")), n))
@@ -186,13 +193,16 @@ def estimate(counts: dict[tuple[int, int, int], int]) -> Potentials:
         x = np.array([k[0] for k in seen], float)
         y = np.zeros((len(seen), n))
         y[np.arange(len(seen)), [k[1] for k in seen]] = 1
-        y[:, 1:] += 0.3 * y[:, :1] / len(KINDS)
-        y[:, 0] *= 0.7
+        hidden = y[:, 0] > 0
+        y[hidden] = [1 - UNSURE, *[UNSURE / len(KINDS)] * len(KINDS)]
         share = np.array(list(seen.values()), float)
         share /= share.sum()
-        for _ in range(400):
-            p = _softmax(x @ unary)
-            unary -= 2.0 * (x.T @ ((p - y) * share[:, None]) + 1e-4 * unary)
+        for turn in range(TURNS):
+            if turn:
+                y[hidden] = _softmax(x[hidden] @ unary)
+            for _ in range(STEPS):
+                p = _softmax(x @ unary)
+                unary -= 2.0 * (x.T @ ((p - y) * share[:, None]) + 1e-4 * unary)
     else:
         unary[0, 0] = 4
 
@@ -303,7 +313,7 @@ def find(data: list[str], model: Potentials) -> list[tuple[list[Span], list[Span
         graph += [(i + at, j + at, 0, number) for i, j in near if not names[i] or names[i][-1] not in names[j]] + [(i + at, j + at, 1, number) for i, j in joined]
         linked.update(i + at for i, _ in joined)
         at += len(spans) + extra
-    scores, evident = np.zeros((at, len(KINDS) + 1)), set()
+    scores, evident = np.zeros((at, len(KINDS) + 1)), set()  # hubs look like nothing
     for text, (spans, labels, names, first) in zip(data, out, strict=True):
         # What a look-alike's looks say is said once for all that share its key, not again by each.
         alike = Counter(found[-1] for found, label in zip(names, labels, strict=True) if found and not label)
@@ -313,8 +323,7 @@ def find(data: list[str], model: Potentials) -> list[tuple[list[Span], list[Span
                 scores[first + k, label] = 0
             else:
                 scores[first + k] = np.array(shape(text[a:b]), float) @ model.unary / (alike[found[-1]] if found else 1)
-                if passed := whole(text[a:b]):
-                    scores[first + k, passed] += 8
+                if whole(text[a:b]):
                     evident.add(first + k)
     marginal = propagate(scores, np.array(graph, np.int64).reshape(-1, 4), model)
     result = []
@@ -374,7 +383,8 @@ def masked(text: str, every: list[Span]) -> str:
 
 
 def mask(docs: DataFrame, model: Potentials, text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """docs with personal data masked, all other columns as they were; size_col gets the new length. Nulls stay."""
+    """docs with personal data masked, all other columns as they were; size_col gets the new length. Null and empty
+    texts and null ids stay; repeated rows repeat; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
