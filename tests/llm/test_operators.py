@@ -319,6 +319,82 @@ def test_toxicity(spark):
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0 and toxicity.score(docs.where("doc_id = -1"), empty).count() == 0
 
 
+def test_toxicity_gradients_against_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 11)
+    rng = np.random.default_rng(4)
+    model = toxicity.start(rng)
+    for k, p in enumerate(model.parameters()):
+        wide = p.astype(np.float64) * 3 + 0.1 * (k > 3)
+        if k in (1, 2, 3):
+            model.filters[k - 1] = wide
+        else:
+            setattr(model, {0: "embedding", 4: "bias", 5: "weight", 6: "offset"}[k], wide)
+    features, count = rng.integers(0, 11, (6, 3)), np.array([5, 0, 1, 2])
+    ids, y, weights = rng.integers(0, 6, 8), np.array([1.0, 0, 0, 1]), np.array([0.5, 1, 0.7, 1])
+    for heat in (1.0, 4.0, None):
+        loss, held, found = toxicity.gradients(model, features, ids, count, y, weights, heat)
+        every = [np.zeros_like(model.embedding), *found[1:]]
+        every[0][held] = found[0]
+        for p, g in zip(model.parameters(), every, strict=True):
+            for at in rng.choice(p.size, min(p.size, 12), replace=False):
+                kept = p.flat[at]
+                change = []
+                for step in (1e-4, -1e-4):
+                    p.flat[at] = kept + step
+                    change.append(toxicity.gradients(model, features, ids, count, y, weights, heat)[0])
+                p.flat[at] = kept
+                assert abs((change[0] - change[1]) / 2e-4 - g.flat[at]) < 3e-3 * (1 + abs(g.flat[at]))
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = np.random.default_rng(6)
+    model = toxicity.start(rng)
+    data = [b"one two three one", b"", b"two", ("lang " * 3000 + "end two one").encode(), b"one. TWO,three"]
+    got, _ = model.logits(data, toxicity.Vocabulary())
+    zero = np.zeros(toxicity.DIM)
+    for text_, logit in zip(data, got, strict=True):
+        words = [model.embedding[list(toxicity.word_features(w))].sum(axis=0) for w in toxicity.words_of(text_)]
+        pool = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                windows = [sum(float((words[i + j] if i + j < len(words) else zero) @ model.filters[k][j][:, f]) for j in range(width)) for i in range(len(words))]
+                pool.append(model.bias[k, f] + max(windows, default=0.0))
+        assert abs(float(np.tanh(pool) @ model.weight + model.offset[0]) - logit) < 1e-3
+
+
+def test_toxicity_widths_learn_alone():
+    # Two words side by side are toxic, either of them alone is not: one word cannot tell, two can.
+    r = random.Random(9)
+    data, labels = [], []
+    for k in range(600):
+        words = [r.choice(WORDS) + str(r.randint(0, 9)) for _ in range(r.randint(8, 30))]
+        at = r.sample(range(0, len(words) - 1, 3), 2)
+        words[at[0]], words[at[1]] = "hot", "dog"
+        if k % 2:
+            words[at[0] + 1] = "dog"
+        data.append(" ".join(words).encode())
+        labels.append(k % 2)
+    right = lambda widths: float(np.mean((toxicity.train(data[:400], labels[:400], widths=widths).scores(data[400:], toxicity.Vocabulary()) >= 0.7) == np.array(labels[400:])))
+    assert right((2,)) >= 0.9 and right((1, 2, 3)) >= 0.85 and right((1,)) < 0.8
+
+
+def test_toxicity_sample_is_of_rows_that_fit(spark):
+    docs = spark.createDataFrame([(k, "word " * (4000 if k % 2 else 5)) for k in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(400)], "doc_id bigint, toxic int")
+    seen = []
+
+    def train(data, labels_):
+        seen.append((len(data), sum(labels_), max(map(len, data))))
+        return toxicity.start(np.random.default_rng(0))
+
+    old, toxicity.train = toxicity.train, train
+    try:
+        toxicity.learn(docs, labels, sample=20, sample_bytes=1000)
+    finally:
+        toxicity.train = old
+    assert seen == [(40, 20, 25)]
+
+
 def area_means(image, height, width):
     """Each new sample from all samples that its area touches, by the share of them that it covers."""
     h, w = image.shape
@@ -415,6 +491,48 @@ def test_pii(docs, none):
     assert pii.masked("a bob@x.org b", [(0, 2, 11)]) == "a [EMAIL] b" and pii.base_spans("9" * 200000 + "@" * 1000) == []
 
 
+def test_marginals_against_enumeration():
+    """Sum-product messages are exact on trees: chains of neighbours and hubs that make no loop."""
+    import itertools
+
+    r = np.random.default_rng(2)
+    n = len(pii.KINDS) + 1
+    for trial in range(12):
+        size = int(r.integers(2, 7))
+        edges = [(int(r.integers(0, k)), k, int(r.integers(0, 2)), 0) for k in range(1, size)]
+        chain, hub = r.normal(0, 1, (n, n)), r.normal(0, 1, (n, n))
+        model = pii.Potentials(np.zeros((1, n)), chain + chain.T, hub + hub.T)
+        scores = r.normal(0, 1, (size, n))
+        want = np.zeros((size, n))
+        for labels in itertools.product(range(n), repeat=size):
+            weight = np.exp(sum(scores[i, x] for i, x in enumerate(labels)) + sum((model.hub if kind else model.chain)[labels[i], labels[j]] for i, j, kind, _ in edges))
+            for i, x in enumerate(labels):
+                want[i, x] += weight
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.abs(pii.propagate(scores, np.array(edges), model) - want).max() < 2e-3
+
+
+def test_pii_recall_of_planted_repeats():
+    """Numbers without their plus and names without their domain, in texts where the whole stands too, and where not."""
+    r = random.Random(11)
+    fill = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(3, 30)))
+    texts_, planted = [], []
+    for k in range(300):
+        number = f"({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+        whole_, part = f"+1 {number}", number
+        repeated = k % 3 == 0
+        texts_.append(f"{fill()} {whole_ if k % 3 != 2 else fill()} {fill()} {part if k % 3 != 1 else fill()} {fill()}")
+        planted.append((repeated, part, k % 3 == 2))
+    model = pii.fit(texts_)
+    found = wrong = 0
+    for text_, (repeated, part, alone), (base, every) in zip(texts_, planted, pii.find(texts_, model), strict=True):
+        extra = {text_[a:b] for _, a, b in set(every) - set(base)}
+        found += repeated and part in extra
+        wrong += bool(extra) and not repeated
+        assert set(base) <= set(every)
+    assert found >= 95 and wrong == 0
+
+
 def test_pii_evidence_reaches_all_mentions():
     model = pii.fit([])  # prior pair potentials; looks say nothing
     model.unary[:] = 0
