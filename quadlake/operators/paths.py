@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graphs import GraphSource
+from ..sources.storage import shared_root
 from ..sources.terms import LITERAL, iri_term
 
 #: Rounds of a closure; each doubles the length of the paths that it covers.
@@ -19,10 +18,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     there is one machine."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quadlake-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

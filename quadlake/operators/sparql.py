@@ -389,8 +389,9 @@ class Evaluator:
             elif x[0] == "optional":
                 solutions = self._optional(solutions, x[1], carried)
             elif x[0] == "bind":
+                kept = solutions.columns
                 solutions, value = self.value(solutions, x[1], carried)
-                solutions = solutions.withColumn(x[2], value.term)
+                solutions = solutions.select(*(F.col(f"`{c}`") for c in kept if c != x[2]), value.term.alias(x[2]))
                 self.loose.add(x[2])  # an error leaves it unbound
             elif x[0] == "values":
                 rows = self.source.spark.createDataFrame([tuple(None if t is None else (t.kind, t.lex, t.dt, t.lang) for t in r) for r in x[2]], ", ".join(f"`{n}` struct<kind:int,lex:string,dt:string,lang:string>" for n in x[1]))
@@ -549,6 +550,20 @@ class Evaluator:
                 mark(x)
 
         mark(e)
+
+        def flat(node: object, top: bool) -> object:
+            """Parts that are computed become columns: what reads one often does not repeat its computation."""
+            nonlocal solutions
+            if isinstance(node, Term) or not isinstance(node, tuple) or node and node[0] in ("var", "column", "exists", "aggregate"):
+                return node
+            node = tuple(flat(x, False) for x in node)
+            if top or not node or node[0] not in ("math", "call", "compare"):
+                return node
+            found, name = self._compile(node, solutions.columns, marks), self._fresh()
+            solutions = solutions.withColumn(name, found.col)
+            return ("column", found.kind, name)
+
+        e = flat(e, True)
         return solutions, self._compile(e, solutions.columns, marks)
 
     def _compile(self, e: object, bound: list[str], marks: dict[int, str]) -> Value:
@@ -611,11 +626,15 @@ class Evaluator:
         items = [(n, aggregates(e)) for n, e in items]
         having, order = [aggregates(e) for e in query["having"]], [(aggregates(e), down) for e, down in query["order"]]
         if found or query["by"]:
-            columns = []
+            columns, plain = [], rows.columns
             for k, (_, name, what, distinct, separator) in enumerate(found):
-                value = None if what is None else self._compile(what, rows.columns, {})
+                value = None
+                if what is not None:
+                    rows, value = self.value(rows, what)
+                    rows = rows.select(*rows.columns, value.col.alias(f"_v{k}"))
+                    value = Value(value.kind, F.col(f"_v{k}"))
                 if name == "COUNT":
-                    made = F.count("*") if value is None and not distinct else F.count_distinct(*(F.col(c) for c in rows.columns)) if value is None else F.count_distinct(value.term) if distinct else F.count(value.term)
+                    made = F.count("*") if value is None and not distinct else F.count_distinct(*(F.col(c) for c in plain)) if value is None else F.count_distinct(value.term) if distinct else F.count(value.term)
                 elif name in ("MIN", "MAX"):
                     made = (F.min_by if name == "MIN" else F.max_by)(value.term, F.struct(value.term["num"], value.term["ts"], value.term["lex"]))
                 elif name == "SAMPLE":
@@ -632,10 +651,15 @@ class Evaluator:
         if order:
             keys = []
             for e, down in order:
-                v = self._compile(e, rows.columns, {}).term
+                rows, v = self.value(rows, e)
+                v = v.term
                 keys += [c.desc() if down else c.asc() for c in (v["num"], v["ts"], v["lex"])]
             rows = rows.orderBy(*keys)
-        out = rows.select(*(self._compile(e, rows.columns, {}).term.alias(n) for n, e in items))
+        out = []
+        for n, e in items:
+            rows, v = self.value(rows, e)
+            out.append(v.term.alias(n))
+        out = rows.select(*out)
         if query["distinct"]:
             out = out.distinct()
         if query["offset"]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import author
 from .engine import Context
 from .tables import Q, engine
 
@@ -22,8 +24,8 @@ class Case:
     context: Context = Context()
     tree: bool = False
 
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        (df,) = engine(spark, sf_dir, self.tree).execute(self.operation, context=self.context).values()
+    def run(self, spark: SparkSession, sf_dir: str, as_quads: bool = False) -> DataFrame:
+        (df,) = engine(spark, sf_dir, self.tree, as_quads).execute(self.operation, context=self.context).values()
         if self.unfold:
             df = df.withColumn("item", (F.explode_outer if self.outer else F.explode)(self.unfold)).drop(self.unfold)
         return flat(df)
@@ -113,20 +115,20 @@ CASES: dict[str, Case] = {
 }
 
 
-def multi_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multi_branch(spark: SparkSession, sf_dir: str, as_quads: bool = False) -> DataFrame:
     """Two lists of one entity, each aggregated before it joins, so that they do not multiply."""
-    (df,) = engine(spark, sf_dir).execute("{ nation { name customers { acctbal } suppliers { acctbal } } }").values()
+    (df,) = engine(spark, sf_dir, as_quads=as_quads).execute("{ nation { name customers { acctbal } suppliers { acctbal } } }").values()
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["acctbal"])
     return df.select("name", F.size("customers").cast("bigint").alias("n_customers"), F.size("suppliers").cast("bigint").alias("n_suppliers"), F.round(total("customers"), 2).alias("customers_acctbal"), F.round(total("suppliers"), 2).alias("suppliers_acctbal"))
 
 
-def json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (df,) = engine(spark, sf_dir).json("{ region { iri name nations { name } } }").values()
+def json_response(spark: SparkSession, sf_dir: str, as_quads: bool = False) -> DataFrame:
+    (df,) = engine(spark, sf_dir, as_quads=as_quads).json("{ region { iri name nations { name } } }").values()
     return df
 
 
-def nested_three_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (df,) = engine(spark, sf_dir).execute("{ nation { name customers { name orders { iri } } } }").values()
+def nested_three_levels(spark: SparkSession, sf_dir: str, as_quads: bool = False) -> DataFrame:
+    (df,) = engine(spark, sf_dir, as_quads=as_quads).execute("{ nation { name customers { name orders { iri } } } }").values()
     return df.select("name", F.explode("customers").alias("c")).select("name", F.col("c.name").alias("customer"), F.explode("c.orders").alias("o")).select("name", "customer", F.col("o.iri").alias("iri"))
 
 
@@ -140,9 +142,19 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+CASES |= {name: Case(operation, sql) for name, (operation, sql) in author.OPERATIONS.items()}
+
+
+def _mapped() -> dict[str, tuple[Callable[..., DataFrame], str]]:
+    return {name: (case.run, case.sql) for name, case in CASES.items()} | EXTRA
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: case.run for name, case in CASES.items()} | {name: f for name, (f, _) in EXTRA.items()}
+    """Each query over mapped tables, and as quad_<name> over the same tables loaded as quads."""
+    found = _mapped()
+    return {name: f for name, (f, _) in found.items()} | {f"quad_{name}": partial(f, as_quads=True) for name, (f, _) in found.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: case.sql for name, case in CASES.items()} | {name: sql for name, (_, sql) in EXTRA.items()}
+    found = _mapped()
+    return {name: sql for name, (_, sql) in found.items()} | {f"quad_{name}": sql for name, (_, sql) in found.items()}

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.graphs import Entity, MappedSource
+from ..sources.graphs import Entity, MappedSource, QuadSource
 from ..sources.load import load_shapes
+from ..sources.storage import new_folder
 from ..sources.terms import LANGUAGE, XSD
 from ..sources.turtle import Graph
+from . import author
 from .engine import Engine
 from .shapes import Registry, parse_shapes
 
 Q = "http://tables.example/"
 _S, _I, _D, _T = XSD + "string", XSD + "long", XSD + "double", XSD + "dateTime"
 
-SHAPES = """
+SHAPES = f"""
 @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix shnex: <http://www.w3.org/ns/shacl-node-expr#> . @prefix q: <http://tables.example/> .
 @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
-q:prefixes sh:declare [ sh:prefix "q" ; sh:namespace "http://tables.example/" ] .
+q:prefixes sh:declare [ sh:prefix "q" ; sh:namespace "http://tables.example/" ] , [ sh:prefix "xsd" ; sh:namespace "http://www.w3.org/2001/XMLSchema#" ] .
 q:RegionShape a sh:NodeShape ; sh:codeIdentifier "Region" ; sh:targetClass q:Region ;
   sh:property [ sh:path q:rName ; sh:codeIdentifier "name" ; sh:datatype xsd:string ; sh:minCount 1 ; sh:maxCount 1 ] ,
     [ sh:path [ sh:inversePath q:region ] ; sh:codeIdentifier "nations" ; sh:class q:Nation ] .
@@ -44,13 +46,13 @@ q:CustomerShape a sh:NodeShape ; sh:codeIdentifier "Customer" ; sh:targetClass q
         shnex:nodes [ shnex:pathValues [ sh:inversePath q:customer ] ] ; shnex:filterShape [ sh:property [ sh:path q:priority ; sh:hasValue "1-URGENT" ] ] ] ] ;
         shnex:then "urgent" ; shnex:else "calm" ] ] ,
     [ sh:path q:label ; sh:datatype xsd:string ; sh:maxCount 1 ; sh:values [ sh:prefixes q:prefixes ;
-        sh:select "SELECT ?l WHERE { $this q:cName ?n . $this q:mktsegment ?m . BIND(CONCAT(UCASE(?n), '/', ?m) AS ?l) }" ] ] ,
+        sh:select "SELECT ?l WHERE {{ $this q:cName ?n . $this q:mktsegment ?m . BIND(CONCAT(UCASE(?n), '/', ?m) AS ?l) }}" ] ] ,
     [ sh:path q:calmName ; sh:datatype xsd:string ; sh:maxCount 1 ; sh:values [ sh:prefixes q:prefixes ;
-        sh:select "SELECT ?n WHERE { $this q:cName ?n . FILTER NOT EXISTS { ?o q:customer $this . ?o q:priority '1-URGENT' } }" ] ] ,
+        sh:select "SELECT ?n WHERE {{ $this q:cName ?n . FILTER NOT EXISTS {{ ?o q:customer $this . ?o q:priority '1-URGENT' }} }}" ] ] ,
     [ sh:path q:spent ; sh:datatype xsd:double ; sh:maxCount 1 ; sh:values [ sh:prefixes q:prefixes ;
-        sh:select "SELECT ?t WHERE { { SELECT ?this (SUM(?p) AS ?t) WHERE { ?o q:customer ?this . ?o q:totalprice ?p } GROUP BY ?this } }" ] ] ,
+        sh:select "SELECT ?t WHERE {{ {{ SELECT ?this (SUM(?p) AS ?t) WHERE {{ ?o q:customer ?this . ?o q:totalprice ?p }} GROUP BY ?this }} }}" ] ] ,
     [ sh:path q:openBig ; sh:class q:Order ; sh:values [ shnex:nodes [ shnex:pathValues [ sh:inversePath q:customer ] ] ;
-        shnex:filterShape [ sh:property [ sh:path q:status ; sh:hasValue "O" ] , [ sh:path q:totalprice ; sh:minInclusive 200000 ] ] ] ] .
+        shnex:filterShape [ sh:property [ sh:path q:status ; sh:hasValue "O" ] , [ sh:path q:totalprice ; sh:minInclusive 200000 ] ] ] ]{author.shapes("Customer")} .
 q:SupplierShape a sh:NodeShape ; sh:codeIdentifier "Supplier" ; sh:targetClass q:Supplier ;
   sh:property [ sh:path q:sName ; sh:codeIdentifier "name" ; sh:datatype xsd:string ; sh:minCount 1 ; sh:maxCount 1 ] ,
     [ sh:path q:sAcctbal ; sh:codeIdentifier "acctbal" ; sh:datatype xsd:double ; sh:minCount 1 ; sh:maxCount 1 ] ,
@@ -69,7 +71,7 @@ q:OrderShape a sh:NodeShape ; sh:codeIdentifier "Order" ; sh:targetClass q:Order
     [ sh:path q:totalprice ; sh:datatype xsd:double ; sh:minCount 1 ; sh:maxCount 1 ] , [ sh:path q:orderdate ; sh:datatype xsd:dateTime ; sh:minCount 1 ; sh:maxCount 1 ] ,
     [ sh:path q:priority ; sh:datatype xsd:string ; sh:minCount 1 ; sh:maxCount 1 ] , [ sh:path q:customer ; sh:class q:Customer ; sh:minCount 1 ; sh:maxCount 1 ] ,
     [ sh:path q:nationName ; sh:datatype xsd:string ; sh:maxCount 1 ; sh:values [ shnex:pathValues ( q:customer q:cNation q:nName ) ] ] ,
-    [ sh:path [ sh:inversePath q:order ] ; sh:codeIdentifier "lines" ; sh:class q:Lineitem ] .
+    [ sh:path [ sh:inversePath q:order ] ; sh:codeIdentifier "lines" ; sh:class q:Lineitem ]{author.shapes("Order")} .
 q:ShippedOrderShape a sh:NodeShape ; sh:codeIdentifier "ShippedOrder" ; sh:targetNode [ shnex:pathValues [ sh:inversePath rdf:type ] ; shnex:focusNode q:Order ] ;
   sh:property [ sh:path [ sh:inversePath q:order ] ; sh:codeIdentifier "lines" ; sh:class q:Lineitem ; sh:minCount 1 ] .
 q:LineShape a sh:NodeShape ; sh:codeIdentifier "Lineitem" ; sh:targetClass q:Lineitem ;
@@ -82,7 +84,7 @@ q:EventShape a sh:NodeShape ; sh:codeIdentifier "Event" ; sh:targetClass q:Event
 q:DocumentShape a sh:NodeShape ; sh:codeIdentifier "Document" ; sh:targetClass q:Document ;
   sh:property [ sh:path q:text ; sh:datatype rdf:langString ; sh:maxCount 1 ] , [ sh:path q:nChars ; sh:datatype xsd:long ; sh:minCount 1 ; sh:maxCount 1 ] ,
     [ sh:path [ sh:inversePath q:document ] ; sh:codeIdentifier "label" ; sh:class q:Label ; sh:maxCount 1 ] ,
-    [ sh:path q:quality ; sh:datatype xsd:int ; sh:maxCount 1 ; sh:defaultValue -1 ; sh:values [ shnex:pathValues ( [ sh:inversePath q:document ] q:labelQuality ) ] ] .
+    [ sh:path q:quality ; sh:datatype xsd:int ; sh:maxCount 1 ; sh:defaultValue -1 ; sh:values [ shnex:pathValues ( [ sh:inversePath q:document ] q:labelQuality ) ] ]{author.shapes("Document")} .
 q:LabelShape a sh:NodeShape ; sh:codeIdentifier "Label" ; sh:targetClass q:Label ;
   sh:property [ sh:path q:labelQuality ; sh:codeIdentifier "quality" ; sh:datatype xsd:int ; sh:minCount 1 ; sh:maxCount 1 ] , [ sh:path q:toxic ; sh:datatype xsd:int ; sh:minCount 1 ; sh:maxCount 1 ] .
 q:SourceShape a sh:NodeShape ; sh:codeIdentifier "Source" ; sh:targetClass q:Source ;
@@ -94,7 +96,7 @@ q:TurnShape a sh:NodeShape ; sh:codeIdentifier "Turn" ; sh:targetClass q:Turn ;
     [ sh:path [ sh:oneOrMorePath q:next ] ; sh:codeIdentifier "later" ; sh:class q:Turn ] , [ sh:path [ sh:zeroOrMorePath q:next ] ; sh:codeIdentifier "selfAndLater" ; sh:class q:Turn ] ,
     [ sh:path [ sh:zeroOrOnePath q:next ] ; sh:codeIdentifier "selfAndNext" ; sh:class q:Turn ] .
 q:PageShape a sh:NodeShape ; sh:codeIdentifier "Page" ; sh:targetClass q:Page ; sh:property [ sh:path q:url ; sh:datatype xsd:anyURI ; sh:minCount 1 ; sh:maxCount 1 ] .
-q:AccountShape a sh:NodeShape ; sh:codeIdentifier "Account" ; sh:targetNode [ sh:prefixes q:prefixes ; sh:select "SELECT ?x WHERE { { ?x a q:Customer } UNION { ?x a q:Supplier } }" ] ;
+q:AccountShape a sh:NodeShape ; sh:codeIdentifier "Account" ; sh:targetNode [ sh:prefixes q:prefixes ; sh:select "SELECT ?x WHERE {{ {{ ?x a q:Customer }} UNION {{ ?x a q:Supplier }} }}" ] ;
   sh:property [ sh:path [ sh:alternativePath ( q:cNation q:sNation ) ] ; sh:codeIdentifier "nation" ; sh:class q:Nation ; sh:minCount 1 ; sh:maxCount 1 ] .
 """
 
@@ -156,7 +158,34 @@ class Tables(dict):
         return made
 
 
-def engine(spark: SparkSession, sf_dir: str, tree: bool = False) -> Engine:
-    """An engine over the tables in a folder; with the class tree where part types matter."""
+_loaded: dict[tuple[str, str], str] = {}
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables as quads: loaded once a session into a Parquet table of the shared folder, a folder for each predicate,
+    each triple once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _loaded:
+        tables, out = Tables(spark, sf_dir), []
+        for e in ENTITIES:
+            one = MappedSource(spark, tables, [e])
+            out += [one.pairs(p).select(F.lit(e.graph).cast("string").alias("g"), "s", "o", F.lit(p).alias("p")) for p in one.predicates()]
+        every = out[0]
+        for x in out[1:]:
+            every = every.union(x)
+        path = new_folder(spark, "quads")
+        # Rows of a key that is repeated say some things twice.
+        every.distinct().write.partitionBy("p").parquet(path)
+        _loaded[key] = path
+    return spark.read.parquet(_loaded[key]).select("g", "s", "p", "o")
+
+
+def engine(spark: SparkSession, sf_dir: str, tree: bool = False, as_quads: bool = False) -> Engine:
+    """An engine over the tables in a folder, mapped or loaded as quads; with the class tree where part types matter."""
     extra: Graph | None = load_shapes(TREE) if tree else None
+    if as_quads:
+        held = quads(spark, sf_dir)
+        if extra is not None:
+            held = held.unionByName(QuadSource.of(spark, extra).quads)
+        return Engine(registry(), QuadSource(held, unique=True))
     return Engine(registry(), MappedSource(spark, Tables(spark, sf_dir), ENTITIES, extra))
