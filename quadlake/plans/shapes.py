@@ -5,7 +5,9 @@ from __future__ import annotations
 import keyword
 import re
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import count
 
 from ..sources.terms import LANGUAGE, LITERAL, RDF, RDFS, SH, SHNEX, SUBCLASS, TYPE, XSD, Term, iri
 from ..sources.turtle import Graph
@@ -132,11 +134,11 @@ class Field:
 
 #: Output type and filter type by datatype.
 SCALARS = {
-    **{XSD + x: ("String", "String") for x in "string normalizedString token anyURI".split()}, RDF + "langString": ("String", "String"),
+    **{XSD + x: ("String", "String") for x in ("string", "normalizedString", "token", "anyURI")}, RDF + "langString": ("String", "String"),
     XSD + "boolean": ("Boolean", "Boolean"),
-    **{XSD + x: ("Int", "Int") for x in "integer int short byte long unsignedInt".split()},
-    **{XSD + x: ("Float", "Float") for x in "decimal float double".split()},
-    **{XSD + x: ("String", "DateTime") for x in "date dateTime time dateTimeStamp duration dayTimeDuration yearMonthDuration gYear".split()},
+    **{XSD + x: ("Int", "Int") for x in ("integer", "int", "short", "byte", "long", "unsignedInt")},
+    **{XSD + x: ("Float", "Float") for x in ("decimal", "float", "double")},
+    **{XSD + x: ("String", "DateTime") for x in ("date", "dateTime", "time", "dateTimeStamp", "duration", "dayTimeDuration", "yearMonthDuration", "gYear")},
 }
 
 #: Operators by filter type.
@@ -200,17 +202,20 @@ def local_name(text: str) -> str:
 
 
 def enum_names(members: tuple[Term, ...]) -> dict[str, Term]:
-    """Names of an enum's members, in order; clashes get a number."""
+    """A name for each member of an enum, in order: its text or local name in upper case with _ for runs of anything but
+    letters and digits, and _ before what no name may be. Of members that would share a name the first has it; each later
+    one takes the first of the numbered names, from 2 on, that is free."""
+
+    def candidates(term: Term) -> Iterator[str]:
+        letters = [x for x in re.split(r"[^0-9A-Za-z]", local_name(term.lex) if term.is_iri else term.lex)]
+        plain = "_".join(x for k, x in enumerate(letters) if x or k in (0, len(letters) - 1)).upper()
+        plain = plain if re.match("[A-Z_]", plain) and plain not in ("TRUE", "FALSE", "NULL") else f"_{plain}"
+        yield plain
+        yield from (f"{plain.removesuffix('_')}_{k}" for k in count(2))
+
     out: dict[str, Term] = {}
-    for member in members:
-        base = re.sub(r"[^0-9A-Za-z]+", "_", local_name(member.lex) if member.is_iri else member.lex).upper()
-        if not base or base[0].isdigit() or base in ("TRUE", "FALSE", "NULL"):
-            base = "_" + base
-        name, k = base, 1
-        while name in out:
-            k += 1
-            name = f"{base}{'' if base.endswith('_') else '_'}{k}"
-        out[name] = member
+    for term in members:
+        out[next(x for x in candidates(term) if x not in out)] = term
     return out
 
 
@@ -263,7 +268,7 @@ def path_predicates(path: Path) -> set[str]:
 # Node expressions.
 
 #: Expressions that are known and not supported.
-REJECTED = "var distinct intersection concat remove limit offset orderBy flatMap findFirst matchAll count min max sum nodesMatching conformsToShape arg".split()
+REJECTED = ("var", "distinct", "intersection", "concat", "remove", "limit", "offset", "orderBy", "flatMap", "findFirst", "matchAll", "count", "min", "max", "sum", "nodesMatching", "conformsToShape", "arg")
 
 
 def _prefixes(graph: Graph, node: Term) -> tuple[tuple[str, str], ...]:

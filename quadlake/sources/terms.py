@@ -17,7 +17,7 @@ SHNEX = "http://www.w3.org/ns/shacl-node-expr#"
 TYPE, SUBCLASS = RDF + "type", RDFS + "subClassOf"
 
 #: The XSD types by what they compare as.
-INTEGERS = tuple(XSD + x for x in "integer int short byte long unsignedInt unsignedLong unsignedShort unsignedByte nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger".split())
+INTEGERS = tuple(XSD + x for x in ("integer", "int", "short", "byte", "long", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger"))
 NUMERIC = (*INTEGERS, XSD + "decimal", XSD + "float", XSD + "double")
 TEMPORAL = (XSD + "date", XSD + "dateTime", XSD + "dateTimeStamp")
 LANGUAGE = (RDF + "langString", RDF + "dirLangString")
