@@ -387,12 +387,6 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate([a, b])
-    both.sort()
-    return int((both[1:] == both[:-1]).sum())
-
-
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """class, component (its least class) of the classes that edges (a, b) touch: least labels of neighbours, then
     labels of labels, until none changes. Each round is a table in the shared folder."""
@@ -471,12 +465,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not repeated.limit(1).count():
         return single
 
+    extra = "_class"
+    while extra in docs.columns:
+        extra += "_"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             classes = [class_of(x) if len(x) else 0 for x in shingle_sets(texts(part, text_col))]
-            yield part.append_column("_class", pa.array(classes, pa.int64()))
+            yield part.append_column(extra, pa.array(classes, pa.int64()))
 
-    several = docs.join(repeated, docs[id_col].eqNullSafe(repeated["r_id"]), "left_semi").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    several = docs.join(repeated, docs[id_col].eqNullSafe(repeated["r_id"]), "left_semi").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())]))
     chosen = kept.distinct()
-    several = several.join(chosen, several[id_col].eqNullSafe(chosen["k_id"]) & (several["_class"] == chosen["k_class"]), "left_semi").dropDuplicates([id_col, "_class"])
-    return single.unionByName(several.drop("_class"))
+    several = several.join(chosen, several[id_col].eqNullSafe(chosen["k_id"]) & (several[extra] == chosen["k_class"]), "left_semi").dropDuplicates([id_col, extra])
+    return single.unionByName(several.drop(extra))

@@ -95,14 +95,14 @@ def test_lm_flushes_count_alike(docs, monkeypatch):
 
 
 def test_lm_words_choose_their_classes(spark):
-    # 300 words of each of two sorts that alternate, all with one ending, so that their lump says nothing.
+    # 300 words of each of two sorts, with the same 40 endings: only the words before them tell the sorts apart.
     r = random.Random(1)
-    sorts = [[f"{s}{k}xyz" for k in range(300)] for s in "ab"]
-    df = spark.createDataFrame([("start " + " ".join(r.choice(sorts[k % 2]) for k in range(400)),) for _ in range(100)], "text string")
+    sorts = {x: [f"{k}{x}{k % 40:03}" for k in range(300)] for x in ("ana", "bob")}
+    df = spark.createDataFrame([(" ".join(f"{x} {r.choice(sorts[x])}" for x in r.choices(["ana", "bob"], k=200)),) for _ in range(100)], "text string")
     words = {r["word"]: r["class"] for r in lm_scoring.train(df).words.collect()}
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    one, two = ({words[signed(lm_scoring.hash_of(x.encode()))] for x in s} for s in sorts)
-    assert len(one | two) > 1 and len(words) == 602
+    one, two = ({words[signed(lm_scoring.hash_of(x.encode()))] for x in s} for s in sorts.values())
+    assert not one & two and len(words) == 603
 
 
 def test_choices_against_brute_force():
