@@ -161,42 +161,50 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stored(captures, "captures")
 
 
+Block = tuple[str, int, int]
+
+
 @dataclass
 class CaptureIndex:
-    """The directory: the first key of each block, in order, and where the block lies."""
+    """The top directory: the first key of each block, in order, and where the block lies. Its blocks hold lines of
+    captures (depth 0), or of a directory of blocks one level lower."""
 
     keys: list[bytes]
-    blocks: list[tuple[str, int, int]]
+    blocks: list[Block]
+    depth: int = 0
 
     def block(self, key: bytes) -> int:
-        """The first block that may hold lines of a key, which can begin at the end of the block before one that the
-        key is the first of; -1 before the first."""
-        at = bisect_left(self.keys, key)
-        return max(at - 1, 0) if at < len(self.keys) and self.keys[at] == key else at - 1
+        """The first block that may hold lines of a key; -1 before the first."""
+        return _begin(self.keys, key)
 
 
-def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
-    """Sorts captures over all tasks, writes blocks of lines, returns their directory."""
-    rows = captures.count()
-    lines = max(BLOCK_LINES, -(-rows // (DIRECTORY // 2)))
-    ordered = captures.repartitionByRange(max(1, min(DIRECTORY // 2, rows // (8 * lines))), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+def _begin(keys: list[bytes], key: bytes) -> int:
+    """Where the lines of a key may begin: they can at the end of the block before one that the key is the first of."""
+    at = bisect_left(keys, key)
+    return max(at - 1, 0) if at < len(keys) and keys[at] == key else at - 1
+
+
+def write_blocks(rows: DataFrame, total: int, folder: str) -> DataFrame:
+    """Sorts rows (key, file, offset, length) over all tasks and writes them as blocks of BLOCK_LINES lines; the same
+    columns of the blocks."""
+    ordered = rows.repartitionByRange(max(1, total // (8 * BLOCK_LINES)), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, file, at = f"{folder}/index/{uuid.uuid4().hex}.cdx.z", None, 0
-        held: list[str] = []
+        held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal file, at
             file = file or _create(path)
-            block = zlib.compress("\n".join(held).encode())
+            block = zlib.compress("\n".join("\t".join(map(str, x)) for x in held).encode())
             file.write(block)
             at += len(block)
-            return pa.RecordBatch.from_pydict({"first": [held[0].rpartition("\t")[0].rpartition("\t")[0].rpartition("\t")[0]], "file": [path], "offset": pa.array([at - len(block)], pa.int64()), "length": pa.array([len(block)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"key": [held[0][0]], "file": [path], "offset": pa.array([at - len(block)], pa.int64()), "length": pa.array([len(block)], pa.int64())})
 
         for batch in batches:
-            for key, where, offset, length in zip(*(batch.column(k).to_pylist() for k in ("key", "file", "offset", "length")), strict=True):
-                held.append(f"{key}\t{where}\t{offset}\t{length}")
-                if len(held) == lines:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "file", "offset", "length")), strict=True):
+                held.append(row)
+                if len(held) == BLOCK_LINES:
                     yield flush()
                     held.clear()
         if held:
@@ -204,51 +212,77 @@ def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
         if file:
             file.close()
 
-    found = ordered.mapInArrow(run, "first string, file string, offset bigint, length bigint").toArrow().to_pylist()
-    found.sort(key=lambda x: (x["first"].encode(), x["file"], x["offset"]))
-    return CaptureIndex([x["first"].encode() for x in found], [(x["file"], x["offset"], x["length"]) for x in found])
+    return stored(ordered.mapInArrow(run, "key string, file string, offset bigint, length bigint"), "blocks")
+
+
+def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
+    """Sorts captures into blocks, then the directory of these into blocks, until the directory on top has DIRECTORY
+    entries at most: it travels to every worker."""
+    rows, depth = write_blocks(captures.select("key", "file", "offset", "length"), captures.count(), folder), 0
+    while (total := rows.count()) > DIRECTORY:
+        rows, depth = write_blocks(rows, total, folder), depth + 1
+    found = sorted(rows.toArrow().to_pylist(), key=lambda x: (x["key"].encode(), x["file"], x["offset"]))
+    return CaptureIndex([x["key"].encode() for x in found], [(x["file"], x["offset"], x["length"]) for x in found], depth)
+
+
+class Finder:
+    """Lines of keys, by binary search in the top directory and then in the blocks below; keeps the last blocks read."""
+
+    def __init__(self, index: CaptureIndex, ranges: Ranges, most: int = 8):
+        self.index, self.ranges, self.most = index, ranges, most
+        self.held: OrderedDict[Block, tuple[list[bytes], list[Block]]] = OrderedDict()
+
+    def read(self, block: Block) -> tuple[list[bytes], list[Block]]:
+        if block not in self.held:
+            lines = [x.rsplit("\t", 3) for x in zlib.decompress(self.ranges.read(*block)).decode().split("\n")]
+            self.held[block] = [x[0].encode() for x in lines], [(x[1], int(x[2]), int(x[3])) for x in lines]
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        self.held.move_to_end(block)
+        return self.held[block]
+
+    def find(self, key: bytes) -> list[Block]:
+        return self._in(self.index.keys, self.index.blocks, self.index.depth, key)
+
+    def _in(self, keys: list[bytes], blocks: list[Block], depth: int, key: bytes) -> list[Block]:
+        out = []
+        for block in blocks[max(_begin(keys, key), 0) : bisect_right(keys, key)]:
+            inner = self.read(block)
+            out += self._in(*inner, depth - 1, key) if depth else inner[1][bisect_left(inner[0], key) : bisect_right(inner[0], key)]
+        return out
 
 
 def lookup(requests: DataFrame, index: CaptureIndex, id_col: str = "page_id", url_col: str = "url", once: bool = False) -> DataFrame:
     """A row for each request (a URL and a page id) and each of its captures: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, payload_ok (a response's bytes have its digest). With `once`, requests
-    of the same key, whose URLs may differ in scheme or fragment, are one request."""
+    payload_digest, record_type, refers_to, payload_ok (a response's bytes have its digest). Requests without captures
+    have no row. With `once`, requests of the same key, whose URLs may differ in scheme or fragment, are one request, and
+    one without captures is an error."""
     shared = requests.sparkSession.sparkContext.broadcast(index)
     plain = requests.select(requests[id_col].cast("bigint").alias("page_id"), requests[url_col].cast("string").alias("url"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [sort_key(u, i) for i, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "block": pa.array([shared.value.block(x.encode()) for x in keys], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "block": pa.array([max(shared.value.block(x.encode()), 0) for x in keys], pa.int64())})
 
-    placed = plain.mapInArrow(place, "key string, block bigint").where("block >= 0")
+    placed = plain.mapInArrow(place, "key string, block bigint")
     # A few blocks a task: the rows are narrow, but each reads a record.
     # A key asked for again and again is read once: its captures carry the number of requests.
     asked = placed.groupBy("block", "key").agg((F.lit(1) if once else F.count("*")).alias("times")).repartition(max(16, -(-len(index.keys) // 4)), "block").sortWithinPartitions("block", "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, now, lines, keys = Ranges(), -1, [], []
+        ranges = Ranges()
+        finder = Finder(shared.value, ranges)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 out = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")}
-                for block, key, times in zip(*(part.column(k).to_pylist() for k in ("block", "key", "times")), strict=True):
-                    if block != now:
-                        now, lines = block, zlib.decompress(ranges.read(*shared.value.blocks[block])).decode().split("\n")
-                        keys = [x.rsplit("\t", 3)[0].encode() for x in lines]
-                    first, last = bisect_left(keys, key.encode()), bisect_right(keys, key.encode())
-                    hits = lines[first:last]
-                    beyond = now + 1
-                    while last == len(keys) and beyond < len(shared.value.blocks) and shared.value.keys[beyond] == key.encode():
-                        more = zlib.decompress(ranges.read(*shared.value.blocks[beyond])).decode().split("\n")
-                        same = [x for x in more if x.rsplit("\t", 3)[0] == key]
-                        hits += same
-                        if len(same) < len(more):
-                            break
-                        beyond += 1
+                for key, times in zip(part.column("key").to_pylist(), part.column("times").to_pylist(), strict=True):
+                    hits = finder.find(key.encode())
+                    if once and not hits:
+                        raise KeyError(f"no capture of {key!r}")
                     for hit in hits:
-                        _, path, offset, length = hit.rsplit("\t", 3)
-                        fields, payload = read_record(ranges.read(path, int(offset), int(length)))
+                        fields, payload = read_record(ranges.read(*hit))
                         revisit = fields["WARC-Type"] == "revisit"
                         name = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         got = digest(payload)
