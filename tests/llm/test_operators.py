@@ -236,15 +236,26 @@ def test_warc(spark, tmp_path):
     assert warc.archive_and_read_back(df.where("page_id = 99"), f"file://{tmp_path}/e").count() == 0
 
 
-def test_warc_many_blocks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("directory", [1000, 4])
+def test_warc_many_blocks(spark, tmp_path, monkeypatch, directory):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "DIRECTORY", directory)  # with 4 entries on top there are three levels
     df = spark.createDataFrame([(k, f"http://h{k % 7}.org/p{k}", f"page {k % 20}") for k in range(100)], "page_id bigint, url string, html string")
     got = warc.archive_and_read_back(df, f"file://{tmp_path}/w").collect()
     assert sorted(r.page_id for r in got) == list(range(100)) and all((r.record_type == "response") == (r.page_id >= 80) for r in got)
+    captures = warc.write_archives(df, f"file://{tmp_path}/x")
+    index = warc.build_index(captures, f"file://{tmp_path}/x")
+    assert index.depth == (0 if directory == 1000 else 2) and len(index.keys) <= directory
+    asked = spark.createDataFrame([(5, "http://h5.org/p5"), (5, "http://h5.org/p5"), (5, "http://aaa.org/"), (5, "http://zzz.org/")], "page_id bigint, url string")
+    assert [r.page_id for r in warc.lookup(asked, index).collect()] == [5, 5]
+    with pytest.raises(Exception, match="no capture of"):
+        warc.lookup(asked, index, once=True).collect()
 
 
-def test_warc_repeats_straddle_blocks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("directory", [1000, 2])
+def test_warc_repeats_straddle_blocks(spark, tmp_path, monkeypatch, directory):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "DIRECTORY", directory)
     # Blocks are [1 1 2] [2 2 2] [2 3 3] [4 n n] [n n]: keys that begin at the end of a block, fill blocks, or repeat a null id.
     ids = [1, 1, *[2] * 5, 3, 3, 4, *[None] * 4]
     df = spark.createDataFrame([(k, "http://a.org/" if k else "http://z.org/", f"page {k}") for k in ids], "page_id bigint, url string, html string")
