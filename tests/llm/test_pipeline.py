@@ -39,3 +39,28 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "near duplicates", "personal data", "packing"]
+
+
+def test_stages_on_repeats_nulls_and_clashing_names(spark, tmp_path):
+    """Rows that repeat an id, null ids and texts, a very long text, columns named as those that operators use."""
+    docs = [(i, x) for i, x in corpus() if i < 60 or i > 399]
+    docs += [(5, docs[5][1]), (5, "another text of the same id " + docs[7][1]), (None, docs[9][1]), (None, None), (500, " ".join(f"long{k}" for k in range(60000)))]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, _class int, id string, label int, score double, class bigint, unit bigint, n bigint, part int, k_id int"
+    spark.createDataFrame([(i, x, "en", "s", len(x or ""), 1, "i", 2, 0.5, 3, 4, 5, 6, 7) for i, x in docs], names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = now.count()
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == columns and now.count() <= before
+    rows = now.collect()
+    assert {r._class for r in rows} == {1} and {r.k_id for r in rows} == {7} and 500 in {r.doc_id for r in rows}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in packed if r.doc_id == 500) > 60000 and max(r.length for r in packed) == 2048
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
