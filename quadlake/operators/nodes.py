@@ -48,7 +48,8 @@ class Nodes:
         if isinstance(e, PathValues):
             if e.focus is not None:
                 start = self.one(e.focus.lex).select(F.col("s").alias("root"), F.col("s").alias("at"))
-                return seeds.crossJoin(F.broadcast(follow(self.source, start, e.path).select("o").distinct()))
+                # Every seed has all of these; Spark broadcasts them if they are few.
+                return seeds.crossJoin(follow(self.source, start, e.path, True).select("o").distinct())
             if has_zero_step(e.path):
                 return follow(self.source, seeds.select(F.col("s").alias("root"), F.col("s").alias("at")), e.path).select(F.col("root").alias("s"), "o")
             return pairs(self.source, e.path)
