@@ -448,8 +448,6 @@ class Planner:
             links = narrowed.get(f.name)
             if links is None:
                 links = self.values(shape, f, out, within)
-            elif within is not None:
-                links = within.of(links)
             links = links.select("s", F.col("o.lex").alias("_child")).distinct()
         targets = (out.select(F.col(f"f_{f.name}.lex").alias("s")).where("s is not null") if links is None else links.select(F.col("_child").alias("s"))).distinct()
         keys = None
@@ -457,7 +455,8 @@ class Planner:
             keys = targets if f.target_class is None else targets.join(self.source.instances([f.target_class]), "s", "left_semi")
         base, inside, promoted = self.filtered(target, nested, wanted, keys)
         below = None
-        if within is not None:
+        # What a filter narrowed is restricted by it already.
+        if within is not None and f.name not in narrowed:
             below = Within(targets, within.small and links is None)
             base = below.of(base) if own else base
         child = self.fields(target, base, sel.selection, inside, promoted, nested, below)
