@@ -141,6 +141,53 @@ def test_exchange_leaves_no_better_move():
             assert lm_scoring.likelihood(table(other)) <= lm_scoring.likelihood(table(of)) + 1e-6
 
 
+def test_merging_loses_least_information():
+    def information(table):
+        p = table / max(table.sum(), 1)
+        return sum(p[a, b] * np.log(p[a, b] / (p[a].sum() * p[:, b].sum())) for a, b in zip(*np.nonzero(p), strict=True))
+
+    r = np.random.default_rng(7)
+    for _ in range(5):
+        pairs = np.floor(r.exponential(6, (14, 14))) * (r.random((14, 14)) < 0.7)
+        # Brown's algorithm by hand: every merging of two classes is tried.
+        groups = [[w] for w in range(4)]
+        for w in range(4, 14):
+            groups.append([w])
+            tried = []
+            for a in range(5):
+                for b in range(a + 1, 5):
+                    one = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] + groups[b]]
+                    tried.append((information(np.array([[pairs[np.ix_(x, y)].sum() for y in one] for x in one])), one))
+            groups = max(tried, key=lambda x: x[0])[1]
+        of = lm_scoring.merge(pairs, 4)
+        assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(of == k).tolist()) for k in range(4)}
+    assert lm_scoring.merge(pairs[:3, :3], 4).tolist() == [0, 1, 2]
+
+
+def test_bigrams_count_all_neighbours(docs):
+    names = ["", *WORDS[:7]]
+    got = lm_scoring.bigrams(docs.select("text"), np.array([lm_scoring.hash_of(x.encode()) for x in names], np.uint64), 3)
+    pairs = Counter((v, w) for _, x, _ in lm_parts() for v, w in zip(["", *x], x, strict=False))
+    assert [[pairs[v, w] for w in names] for v in names] == got.tolist()
+
+
+def test_lm_has_one_class_a_word_from_both_sides(spark, monkeypatch):
+    # Words of one ending, one of each sort frequent; words before them are alike, those behind them tell the sorts apart.
+    r = random.Random(2)
+    sorts = {x: [f"{x}{k}end" for k in range(60)] for x in ("left", "right")}
+    lines = [" ".join(f"{r.choice('pq')} {w} {x}" for x in r.choices(["left", "right"], k=60) for w in [r.choice([sorts[x][0], r.choice(sorts[x])])]) for _ in range(100)]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    signed = lambda w: np.array([lm_scoring.hash_of(w.encode())], np.uint64).view(np.int64)[0]
+    # Merged on the driver, joined to the merged as frequent words, or as others.
+    for merged, most in ((2048, 300_000), (7, 300_000), (7, 7)):
+        monkeypatch.setattr(lm_scoring, "MERGED", merged)
+        model = lm_scoring.train(df, most)
+        words = {r["word"]: r["class"] for r in model.words.collect()}
+        one, two = ({words[signed(w)] for w in s} for s in sorts.values())
+        assert not one & two and len(words) == 125
+        assert all(words[int(h)] == k for h, k in zip(model.first.hashes.view(np.int64), model.first.classes, strict=True))
+
+
 def library():
     from tokenizers import Tokenizer
 
