@@ -694,3 +694,23 @@ def test_word_tokens():
     data = ["<|endoftext|> a<|endoftext|>b", "ΑΣ İ É́ á ́b", "x y\x1cz \x85", "it's I'll"] + ["".join(r.choice("Ab \n'é1!́,.") for _ in range(40)) for _ in range(200)]
     got = tokens.tokenizer(tokens.default_path()).ids([x.encode() for x in data])
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(x, add_special_tokens=False).ids for x in data]
+
+
+def test_chunks_go_to_the_library_together():
+    mine, lib, handed = tokens.ChunkTokenizer(tokens.default_path()), library(), []
+    mark = tokens.MARK.decode()
+    # The mark stands in chunks and by itself, once, or as often as between all chunks of a text for the library.
+    data = ["", mark, f"a{mark}b {mark}c d{mark} {mark}{mark}", " ".join(f"x{k}{mark}" for k in range(70)), " ".join(f"Wörd{k},it's<|endoftext|>{k}" for k in range(3000)), "e\u0301 \u0301 \u00a0 A\u030a\u2003B", " ".join(WORDS)]
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(texts)
+            return lib.encode_batch_fast(texts, **how)
+
+    mine.library = Counted()
+    want = [np.array(lib.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in data]
+    assert mine.ids([x.encode() for x in data]) == want
+    assert len(handed) < 75 + 4000 / tokens.TOGETHER
+    mine.mark = None
+    mine.memo.clear()
+    assert mine.ids([x.encode() for x in data]) == want
